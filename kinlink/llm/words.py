@@ -10,6 +10,10 @@ import pyarrow as pa
 #: Words are maximal runs of bytes outside these, so bytes above 0x7F are letters.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Token breaks for search: every ASCII byte but letters and digits.
+BREAKS = np.zeros(256, dtype=bool)
+BREAKS[:128] = True
+BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -47,7 +51,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def _cuts(data: np.ndarray, offs: np.ndarray) -> list[int]:
+def _cuts(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray) -> list[int]:
     """Places where no word is cut, about PIECE bytes apart."""
     cuts, n = [0], len(data)
     while cuts[-1] < n:
@@ -57,23 +61,23 @@ def _cuts(data: np.ndarray, offs: np.ndarray) -> list[int]:
             break
         doc = int(offs[np.searchsorted(offs, to, "right") - 1])
         if doc <= at:
-            gap = np.flatnonzero(SPACES[data[at + 1:to]])
+            gap = np.flatnonzero(gaps[data[at + 1:to]])
             if len(gap):
                 doc = at + 1 + int(gap[-1])
             else:  # one very long word
                 end = int(offs[np.searchsorted(offs, to, "right")])
-                gap = np.flatnonzero(SPACES[data[to:end]])
+                gap = np.flatnonzero(gaps[data[to:end]])
                 doc = to + int(gap[0]) if len(gap) else end
         cuts.append(doc)
     return cuts
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def word_spans(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Per piece: starts and ends of words within the piece, the piece, its place."""
-    cuts = _cuts(data, offs)
+    cuts = _cuts(data, offs, gaps)
     for lo, hi in zip(cuts, cuts[1:]):
         piece = data[lo:hi]
-        solid = ~SPACES[piece]
+        solid = ~gaps[piece]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         a, b = np.searchsorted(offs, [lo, hi])
@@ -87,10 +91,10 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield np.flatnonzero(first), np.flatnonzero(last) + 1, piece, lo
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and the number of words of each text."""
     out, counts = [], np.zeros(len(offs) - 1, dtype=np.int64)
-    for s, e, piece, lo in word_spans(data, offs):
+    for s, e, piece, lo in word_spans(data, offs, gaps):
         if not len(s):
             continue
         size = e - s
