@@ -9,14 +9,15 @@
    that distance share a key, surely.  Pairs above it are found with probability
    1 - (1 - p)^CHUNKS, p = j^5 + 5 (1 - j) j^4: 0.9998 at similarity j = 0.75.
 3. First round: every member of a key's bucket meets the bucket's smallest
-   member.  Pairs whose signatures are nearer than ``NEAR`` are confirmed on full
-   sets; confirmed links give components.
-4. Second round: in buckets that still hold several components all remaining
-   pairs across components are compared by signature, and near ones confirmed on
-   full sets.  A large group of near copies is one component by then, so it costs
-   one link per member, not all pairs, and no link between different texts is
-   lost.  Buckets above ``SPLIT`` rows are dealt to pairs of blocks, so that a
-   task holds at most two blocks.
+   member.  Pairs whose longer sketches differ in at most ``NEAR`` places are
+   confirmed on full sets; confirmed links give components.
+4. Second round: in buckets that still hold several components all pairs across
+   components are compared by sketch; a bucket hands on a spanning forest of the
+   near ones, and the forests join to groups that hold every near pair.  A group
+   gets each member's full set once, confirms all near pairs across components
+   and hands on one link per two components.  So no link between different texts
+   is lost, yet a group never makes rows for its pairs.  Buckets and groups above
+   ``SPLIT`` rows are dealt to pairs of blocks: a task holds two blocks at most.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; a null doc_id is linked with nothing, its component is null and it is
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm.components import components
@@ -41,13 +42,16 @@ from kinlink.llm.words import LOWER, blocks, mix, shingles, word_hashes
 
 WORDS, CHUNKS, WIDTH = 5, 9, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Symbols in which the signatures of a pair may differ to be confirmed on sets;
-#: similarity 0.75 gives 11.25 on average with deviation 2.9.
-NEAR = 24
+#: A longer sketch of LONG minhashes of 8 bits tells which candidates are confirmed
+#: on sets: those that differ in at most NEAR places.  Similarity 0.75 gives 32 on
+#: average with deviation 4.9, so one in 30,000 such pairs is further off.
+LONG, NEAR = 128, 52
 PERCENT = 75
-SPLIT = 4096
+SPLIT = 2048
+#: Bits of the filter that keeps texts out of an exchange; its size is fixed.
+FILTER_BITS = 1 << 25
 
-_FACTORS = mix(np.arange(101, 101 + SYMBOLS, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix(np.arange(101, 101 + LONG, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -57,16 +61,18 @@ def shingle_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield lo, *shingles(words, counts, WORDS)
 
 
-def signature(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """16-bit minhash symbols, one row per text; texts without shingles get 0."""
-    out = np.zeros((len(n), SYMBOLS), dtype=np.int32)
+def signature(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit minhash symbols and the longer sketch, one row per text; 0 without shingles."""
+    out, sketch = np.zeros((len(n), SYMBOLS), dtype=np.int32), np.zeros((len(n), LONG), dtype=np.uint8)
     full = np.flatnonzero(n)
     if len(full):
         at = (np.cumsum(n) - n)[full]
         for j, a in enumerate(_FACTORS):
             low = np.minimum.reduceat(((values * a) >> np.uint64(32)).astype(np.uint32), at)
-            out[full, j] = (low & np.uint32(0xFFFF)).astype(np.int32)
-    return out
+            sketch[full, j] = low.astype(np.uint8)
+            if j < SYMBOLS:
+                out[full, j] = (low & np.uint32(0xFFFF)).astype(np.int32)
+    return out, sketch
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +84,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += c
                 sizes[i] = len(own)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            sig = signature(values, n)
+            sig, sketch = signature(values, n)
             offs = pa.array(np.arange(0, sig.size + 1, SYMBOLS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, len(n)), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offs, pa.array(sig.ravel()))],
-                ["doc_id", "n_shingles", "digest", "sig"])
+                [b.column(0).slice(lo, len(n)), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offs, pa.array(sig.ravel())),
+                 pa.array([r.tobytes() for r in sketch], pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sig", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,72 +127,167 @@ def sub_keys():
     return F.array(*keys)
 
 
-def distance(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+def sketches(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG)
 
 
-def _near_across(rows: pa.Table) -> pa.Table:
-    """Pairs of one bucket (or of two of its blocks) across components, near by signature."""
-    ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
-    sig = rows["sig"].combine_chunks().flatten().to_numpy().astype(np.uint16).reshape(len(ids), SYMBOLS)
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = (sketches(b.column(2)) != sketches(b.column(3))).sum(axis=1) <= NEAR
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good))
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``.
+
+    A bitmap of FILTER_BITS hashed ids goes to all tasks first (4 MB at most,
+    whatever the tables hold); only rows that pass it are exchanged and joined.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = (ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__map")))
+    at = F.bitmap_bit_position(F.col("__s"))
+    byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = (docs.withColumn("__s", slot).join(F.broadcast(maps), F.bitmap_bucket_number("__s") == F.col("__b"))
+            .filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__s", "__b", "__map"))
+    return some.join(ids, "doc_id", "left_semi")
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the left and of the right block of a task, and whether these are one."""
     block, left, right = rows["block"].to_numpy(), rows["left"][0].as_py(), rows["right"][0].as_py()
-    us, vs = [], []
-    ours, theirs = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    for i in ours:
-        to = theirs[(comp[theirs] != comp[i]) & (ids[theirs] != ids[i])]
-        if left == right:
-            to = to[ids[to] > ids[i]]
+    return np.flatnonzero(block == left), np.flatnonzero(block == right), left == right
+
+
+def _near_pairs(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers: one of the left block and all near it of other components."""
+    comp, sketch = rows["comp"].to_numpy(), sketches(rows["sketch"])
+    ours, theirs, same = _sides(rows)
+    for k, i in enumerate(ours):
+        to = theirs[k + 1:] if same else theirs
+        to = to[comp[to] != comp[i]]
         if len(to):
-            hit = to[(sig[to] != sig[i]).sum(axis=1) <= NEAR]
-            us.append(np.full(len(hit), ids[i]))
-            vs.append(ids[hit])
-    u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (us, vs))
-    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            yield i, to[(sketch[to] != sketch[i]).sum(axis=1) <= NEAR]
+
+
+class Forest:
+    """Which nodes are connected; ``join`` tells the labels that a node newly meets."""
+
+    def __init__(self, labels: np.ndarray):
+        self.label = labels.copy()
+
+    def join(self, i: int, to: np.ndarray) -> list[int]:
+        met = []
+        for x in np.unique(self.label[to]).tolist():
+            if x != self.label[i]:
+                met.append(int(to[self.label[to] == x][0]))
+                self.label[self.label == x] = self.label[i]
+        return met
+
+
+def _edges(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    e = np.array([(ids[i], ids[j]) for i, j in pairs], dtype=np.int64).reshape(-1, 2)
+    return pa.table({"u": e.min(axis=1), "v": e.max(axis=1)}) if len(e) else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+
+def _chains(rows: pa.Table) -> pa.Table:
+    """A spanning forest of a bucket's pairs that are near and not connected yet."""
+    ids, out = rows["id"].to_numpy(), []
+    forest = Forest(np.arange(len(ids)))
+    for i, to in _near_pairs(rows):
+        out += [(i, j) for j in forest.join(i, to)]
+    return _edges(ids, out)
+
+
+def overlaps(sets: list[np.ndarray], ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections, exactly, by products of 0/1 blocks of columns."""
+    sizes = np.array([len(s) for s in sets])
+    token, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), sizes), times[number] > 1
+    column = (np.cumsum(times > 1) - 1)[number[shared]]
+    row, out = row[shared], np.zeros((len(ours), len(theirs)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, width = row[order], column[order], 2048
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part[ours] @ part[theirs].T
+    return out.astype(np.int64)
+
+
+def _links(rows: pa.Table) -> pa.Table:
+    """Confirmed links between components, one for each pair of components at most."""
+    ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["own"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    ours, theirs, _ = _sides(rows)
+    common, at, out = overlaps(sets, ours, theirs), {int(i): k for k, i in enumerate(ours)}, []
+    place = np.zeros(len(ids), dtype=np.int64)
+    place[theirs] = np.arange(len(theirs))
+    forest = Forest(comp)
+    for i, to in _near_pairs(rows):
+        n = common[at[int(i)], place[to]]
+        out += [(i, j) for j in forest.join(i, to[100 * n >= PERCENT * (sizes[i] + sizes[to] - n)])]
+    return _edges(ids, out)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, own): the sorted shingle hashes of the documents in ``ids`` (doc_id)."""
+    return only_ids(docs.select("doc_id", "text"), ids).mapInArrow(_sets, "sid bigint, own binary")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of doc_ids whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = (docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-            .mapInArrow(_sets, "sid bigint, own binary"))
-    sets = cut(sets)
+    sets = cut(shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()))
     return (pairs.join(sets.select(F.col("sid").alias("u"), F.col("own").alias("a")), "u")
             .join(sets.select(F.col("sid").alias("v"), F.col("own").alias("b")), "v")
             .select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint"))
 
 
+def by_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a group with ``size`` rows, dealt to all pairs of its blocks."""
+    n = F.ceil(F.col("size") / SPLIT).cast("int")
+    return (rows.withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other", "size")
+            .groupBy(key, "left", "right"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")\
-        .mapInArrow(_describe, "doc_id bigint, n_shingles bigint, digest binary, sig array<int>")
+        .mapInArrow(_describe, "doc_id bigint, n_shingles bigint, digest binary, sig array<int>, sketch binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     all_rows = cut(describe(docs))
     classes = cut(all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
-                  .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
-    reps = classes.filter("n > 1").select(F.col("rep").alias("id"), "sig")
-    keys = reps.select("id", F.explode(sub_keys()).alias("key"))
+                  .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
+    reps = classes.filter("n > 1").select(F.col("rep").alias("id"), "sketch")
+    keys = classes.filter("n > 1").select(F.col("rep").alias("id"), "sig").select("id", F.explode(sub_keys()).alias("key"))
     buckets = cut(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = cut(keys.join(buckets, "key"))
     pairs = members.filter("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    near = (pairs.join(reps.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u")
-            .join(reps.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
-            .filter(distance(F.col("x"), F.col("y")) <= NEAR).select("u", "v"))
-    links = cut(confirmed(docs, cut(near)))
+    near = cut(pairs.join(reps.select(F.col("id").alias("u"), F.col("sketch").alias("x")), "u")
+               .join(reps.select(F.col("id").alias("v"), F.col("sketch").alias("y")), "v")
+               .select("u", "v", "x", "y").mapInArrow(_near, "u bigint, v bigint"))
+    links = cut(confirmed(docs, near))
     comp = cut(components(links))
     named = (members.filter("size > 2").join(comp, "id", "left")
              .select("key", "id", "size", F.coalesce("root", "id").alias("comp")))
     mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-    blocks_of = F.ceil(F.col("size") / SPLIT).cast("int")
-    rows = (named.join(mixed, "key", "left_semi").join(reps, "id")
-            .withColumn("block", F.pmod(F.xxhash64("id"), blocks_of).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
-            .select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "comp", "sig"))
-    more = cut(rows.groupBy("key", "left", "right").applyInArrow(_near_across, "u bigint, v bigint").distinct().join(near, ["u", "v"], "left_anti"))
+    rows = named.join(mixed, "key", "left_semi").join(reps, "id").select("key", "size", "id", "comp", "sketch")
+    chains = cut(by_blocks(rows, "key").applyInArrow(_chains, "u bigint, v bigint").distinct())
     final = comp
-    if more.take(1):
-        final = cut(components(links.union(confirmed(docs, more))))
+    if chains.take(1):
+        group = cut(components(chains).select("id", F.col("root").alias("group")))
+        own = shingle_sets(docs, group.select(F.col("id").alias("doc_id"))).withColumnRenamed("sid", "id")
+        sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+        full = (group.join(sizes, "group").join(own, "id").join(reps, "id").join(comp, "id", "left")
+                .select("group", "size", "id", F.coalesce("root", "id").alias("comp"), "sketch", "own"))
+        final = cut(components(links.union(by_blocks(full, "group").applyInArrow(_links, "u bigint, v bigint"))))
     owner = classes.join(final, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("__root"))
     found = F.coalesce("__root", "doc_id")
     lone = all_rows.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("__root"))
@@ -193,5 +295,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with one document of each group."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    first = (docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
+             .withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))).filter("__n = 1").drop("__n", "__text"))
+    return first.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tables(spark, sf_dir, "documents"))
