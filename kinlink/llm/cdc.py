@@ -99,25 +99,25 @@ def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             at = sort[a:b]
             at = at[keep[at] | lost[at]]
             if len(at):
-                small, cols = doc_table(doc[at], c.ids, c.tags, c.homes)
+                small, cols = doc_table(doc[at], c.ids, c.tags)
                 k = keep[at]
                 keys.append(int(bucket[at[0]]))
                 blobs.append(pack(*cols, k, small, start[at], size[at].astype(np.uint16), hi[at][k], lo[at][k]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-_KINDS = (np.int64, np.int64, np.int64, np.bool_, np.uint32, np.int64, np.uint16, np.uint64, np.uint64)
+_KINDS = (np.int64, np.uint16, np.bool_, np.int32, np.int64, np.uint16, np.uint64, np.uint64)
 
 
-def _settle(rows: pa.Table) -> pa.Table:
+def _settle(rows: pa.Table, homes: int) -> pa.Table:
     cols, base = [[] for _ in _KINDS], 0
     for blob in rows["blob"].to_pylist():
         got = [np.frombuffer(x, dtype=k) for x, k in zip(unpack(blob), _KINDS)]
-        got[4] = got[4].astype(np.int64) + base
+        got[3] = got[3].astype(np.int64) + base
         base += len(got[0])
         for to, x in zip(cols, got):
             to.append(x)
-    ids, tags, homes, keep, doc, start, size, hi, lo = map(np.concatenate, cols)
+    ids, tags, keep, doc, start, size, hi, lo = map(np.concatenate, cols)
     at = np.flatnonzero(keep)
     order, new = _first(hi, lo, ids[doc[at]], start[at])
     owner = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]

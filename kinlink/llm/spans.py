@@ -28,7 +28,7 @@ OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return zstandard.compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw), 1)
+    return zstandard.compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw), 3)
 
 
 def unpack(blob: bytes) -> list[bytes]:
@@ -41,28 +41,39 @@ def unpack(blob: bytes) -> list[bytes]:
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress well where ``x`` ascends."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def prime(n: int) -> int:
+    """The smallest prime from ``n`` on, so that doc_ids with a common step spread."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 class Chunk:
-    """Texts in ascending doc_id order: id, tag (hash of the text), home bucket, bytes."""
+    """Texts in ascending doc_id order: id, tag (16 bits of the text's hash), bytes."""
 
-    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
         rows.sort(key=lambda r: r[0])
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
-        self.tags = np.array([r[1] for r in rows], dtype=np.int64)
-        self.homes = np.array([r[2] for r in rows], dtype=np.int64)
-        self.texts = [r[3] for r in rows]
+        self.tags = np.array([r[1] for r in rows], dtype=np.uint16)
+        self.texts = [r[2] for r in rows]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Chunk]:
-    """Columns: doc_id, tag, home, text.  Rows without doc_id or text are left out."""
+    """Columns: doc_id, tag, text.  Rows without doc_id or text are left out."""
     rows, size = [], 0
     for b in batches:
-        ids, tags, homes = (b.column(i).to_pylist() for i in range(3))
-        raw, offs = utf8(b.column(3))
+        ids, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
+        raw, offs = utf8(b.column(2))
         view, offs = memoryview(raw), offs.tolist()
         for i, doc in enumerate(ids):
             if doc is None or offs[i] == offs[i + 1]:
                 continue
-            rows.append((doc, tags[i], homes[i], bytes(view[offs[i]:offs[i + 1]])))
+            rows.append((doc, tags[i], bytes(view[offs[i]:offs[i + 1]])))
             size += offs[i + 1] - offs[i]
             if size >= limit:
                 yield Chunk(rows)
@@ -74,14 +85,14 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Ch
 def doc_table(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """``doc`` renumbered over the documents that occur, and their columns."""
     used, small = np.unique(doc, return_inverse=True)
-    return small.astype(np.uint32), [c[used] for c in columns]
+    return small.astype(np.int32), [c[used] for c in columns]
 
 
-def lost_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, tags: np.ndarray, homes: np.ndarray) -> pa.Table:
-    """Removed spans as blobs by home bucket; ``doc`` indexes the three columns."""
-    home = homes[doc]
+def lost_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, tags: np.ndarray, homes: int) -> pa.Table:
+    """Removed spans as blobs by home bucket; ``doc`` indexes ids and tags."""
+    home = np.mod(ids[doc], homes)
     order = np.argsort(home, kind="stable")
-    edge = np.flatnonzero(np.diff(home[order], prepend=-1)) if len(order) else np.zeros(0, dtype=np.int64)
+    edge = np.flatnonzero(np.diff(home[order], prepend=-1))
     out_home, out_blob = [], []
     for lo, hi in zip(edge, [*edge[1:], len(order)]):
         at = order[lo:hi]
@@ -91,12 +102,49 @@ def lost_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.nd
     return pa.table({"home": pa.array(out_home, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, tag, home, text -> home, blob of many documents."""
+    held: dict[int, list] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        blobs = []
+        for docs in held.values():
+            null = np.array([d[0] is None for d in docs])
+            blobs.append(pack(null, np.array([d[0] or 0 for d in docs], dtype=np.int64), np.array([d[1] for d in docs], dtype=np.uint16),
+                              np.array([len(d[2]) for d in docs], dtype=np.int64), b"".join([d[2] for d in docs])))
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["home", "texts"])
+        held.clear()
+        return out
+
+    for b in batches:
+        raw, offs = utf8(b.column(3))
+        view, offs = memoryview(raw), offs.tolist()
+        for i, (doc, tag, home) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            held.setdefault(home, []).append((doc, tag, bytes(view[offs[i]:offs[i + 1]])))
+            size += offs[i + 1] - offs[i] + 64
+            if size >= CHUNK:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def _texts(blobs: list[bytes]) -> Iterator[tuple[int | None, int, bytes]]:
+    for blob in blobs:
+        null, ids, tags, sizes, text = unpack(blob)
+        at = 0
+        for empty, i, t, n in zip(np.frombuffer(null, dtype=np.bool_), np.frombuffer(ids, dtype=np.int64).tolist(), np.frombuffer(tags, dtype=np.uint16).tolist(), np.frombuffer(sizes, dtype=np.int64).tolist()):
+            yield None if empty else i, t, text[at:at + n]
+            at += n
+
+
 def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
     parts = [[], [], [], []]
     for blob in lost["blob"].to_pylist():
         i, t, d, s, n = unpack(blob)
-        d = np.frombuffer(d, dtype=np.uint32)
-        for to, x in zip(parts, (np.frombuffer(i, dtype=np.int64)[d], np.frombuffer(t, dtype=np.int64)[d], np.frombuffer(s, dtype=np.int64), np.frombuffer(n, dtype=np.int64))):
+        d = np.frombuffer(d, dtype=np.int32)
+        for to, x in zip(parts, (np.frombuffer(i, dtype=np.int64)[d], np.frombuffer(t, dtype=np.uint16)[d].astype(np.int64), np.frombuffer(s, dtype=np.int64), np.frombuffer(n, dtype=np.int64))):
             to.append(x)
     ids, tags, start, size = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
     order = np.lexsort((start, tags, ids))
@@ -104,10 +152,9 @@ def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
     edge = np.flatnonzero((np.diff(ids, prepend=0) != 0) | (np.diff(tags, prepend=0) != 0) | (np.arange(len(ids)) == 0))
     where = {(int(ids[lo]), int(tags[lo])): (lo, hi) for lo, hi in zip(edge, [*edge[1:], len(ids)])}
     rows = []
-    for doc, tag, text in zip(docs["doc_id"].to_pylist(), docs["tag"].to_pylist(), docs["text"].cast(pa.large_binary()).to_pylist()):
-        text = text or b""
+    for doc, tag, text in _texts(docs["texts"].to_pylist()):
         runs = []
-        if (span := where.get((doc, tag))) is not None:
+        if doc is not None and (span := where.get((doc, tag))) is not None:
             lo, hi = span
             s, e = start[lo:hi], np.maximum.accumulate(end[lo:hi])
             fresh = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
@@ -126,15 +173,16 @@ def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, emit: Callable, settle: Callable, growth: float, bucket_bytes: int) -> DataFrame:
     """Rows OUT for every row of ``docs`` (doc_id, text).
 
-    ``emit(batches, buckets)`` yields (bucket, blob) batches, ``settle(table)``
-    turns a bucket's blobs into ``lost_rows``.  ``growth``: bytes in buckets
-    for each byte of text; a bucket holds about ``bucket_bytes``.
+    ``emit(batches, buckets)`` yields (bucket, blob) batches, ``settle(table,
+    homes)`` turns a bucket's blobs into ``lost_rows``.  ``growth``: bytes in
+    buckets for each byte of text; a bucket holds about ``bucket_bytes``.
     """
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("b")).first()["b"] or 0
-    buckets, homes = max(1, round(total * growth / bucket_bytes)), max(1, round(total / HOME))
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"),
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(homes)).cast("bigint").alias("home"), "text")
-    sent = rows.mapInArrow(lambda b: emit(b, buckets), "bucket bigint, blob binary")
-    lost = sent.groupBy("bucket").applyInArrow(settle, "home bigint, blob binary")
-    return rows.groupBy("home").cogroup(lost.groupBy("home")).applyInArrow(_finish, OUT)
+    buckets, homes = max(1, round(total * growth / bucket_bytes)), prime(total // HOME + 1)
+    tag = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
+    home = F.coalesce(F.pmod(F.col("doc_id").cast("bigint"), F.lit(homes)), F.pmod(F.xxhash64("text"), F.lit(homes)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tag.alias("tag"), home.cast("bigint").alias("home"), "text")
+    sent = rows.select("doc_id", "tag", "text").mapInArrow(lambda b: emit(b, buckets), "bucket bigint, blob binary")
+    lost = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, homes), "home bigint, blob binary")
+    texts = rows.mapInArrow(_pack_texts, "home bigint, texts binary")
+    return texts.groupBy("home").cogroup(lost.groupBy("home")).applyInArrow(_finish, OUT)

@@ -1,6 +1,6 @@
 """Exact substring dedup by suffix arrays in a logarithmic family of levels.
 
-Two 50-byte strings are equal only if they have the same smallest 12-byte gram
+Two 50-byte strings are equal only if they have the same smallest 8-byte gram
 (by hash, first place on ties), so every 50-byte suffix start of a text belongs
 to one anchor.  Runs of starts with one anchor travel together as a context (the
 bytes they cover) to the anchor's bucket; no position travels alone.
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.scratch import tables
-from kinlink.llm.spans import Chunk, chunks, doc_table, lost_rows, pack, remove_repeats, unpack
+from kinlink.llm.spans import Chunk, chunks, doc_table, lost_rows, pack, remove_repeats, steps, unpack
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 8
 SPAN = LENGTH - GRAM + 1
 BATCH = 1 << 15
 #: Long texts are read in pieces that overlap by LENGTH - 1 bytes.
@@ -52,8 +52,7 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each start of LENGTH bytes: place of its anchor; and the grams' hashes."""
-    w = words8(data)
-    gram = (w[:-4] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[4:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    gram = words8(data) * np.uint64(0x9E3779B97F4A7C15)
     gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     low = ((gram >> _PLACE) << _PLACE) | np.arange(len(gram), dtype=np.uint64)
     for s in (1, 2, 4, 8, 16):
@@ -132,9 +131,9 @@ def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         keys, blobs = [], []
         for a, b in zip(edge, [*edge[1:], len(sort)]):
             at = sort[a:b]
-            small, cols = doc_table(doc[at], c.ids, c.tags, c.homes)
+            small, (i, t) = doc_table(doc[at], c.ids, c.tags)
             keys.append(int(bucket[at[0]]))
-            blobs.append(pack(*cols, keep[at], small, start[at], size[at].astype(np.uint8), b"".join([found[i] for i in at[keep[at]].tolist()])))
+            blobs.append(pack(steps(i), t, keep[at], steps(small), start[at].astype(np.uint32), size[at].astype(np.uint8), b"".join([found[i] for i in at[keep[at]].tolist()])))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
@@ -210,24 +209,25 @@ def repeated_starts(text: bytes, size: np.ndarray, docs: np.ndarray) -> tuple[np
     return which[hit], place[hit]
 
 
-_KINDS = (np.int64, np.int64, np.int64, np.bool_, np.uint32, np.int64, np.uint8)
+_KINDS = (np.int64, np.uint16, np.bool_, np.int32, np.uint32, np.uint8)
 
 
-def _settle(rows: pa.Table) -> pa.Table:
+def _settle(rows: pa.Table, homes: int) -> pa.Table:
     cols, base, number, texts, context = [[] for _ in _KINDS], 0, {}, [], []
     for blob in rows["blob"].to_pylist():
         *got, text = unpack(blob)
         got = [np.frombuffer(x, dtype=k) for x, k in zip(got, _KINDS)]
-        got[4] = got[4].astype(np.int64) + base
+        got[0] = np.cumsum(got[0])
+        got[3] = np.cumsum(got[3], dtype=np.int64) + base
         base += len(got[0])
         at = 0
-        for size in got[6][got[3]].tolist():
+        for size in got[5][got[2]].tolist():
             context.append(number.setdefault(text[at:at + size], len(number)))
             at += size
         for to, x in zip(cols, got):
             to.append(x)
-    ids, tags, homes, keep, doc, start, size = map(np.concatenate, cols)
-    size, sent = size.astype(np.int64), np.flatnonzero(keep)
+    ids, tags, keep, doc, start, size = map(np.concatenate, cols)
+    start, size, sent = start.astype(np.int64), size.astype(np.int64), np.flatnonzero(keep)
     context = np.array(context, dtype=np.int64)
     owner = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(owner, context, ids[doc[sent]])
@@ -258,7 +258,7 @@ def _settle(rows: pa.Table) -> pa.Table:
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text)."""
-    return remove_repeats(docs, _emit, _settle, 3.5, 12 << 20)
+    return remove_repeats(docs, _emit, _settle, 2.9, 12 << 20)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
