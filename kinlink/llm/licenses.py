@@ -95,21 +95,26 @@ def digest(lines: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """digest, license_id: one row per known text; made inside the JVM."""
+    """digest, license_id, one_line: one row per known text; made inside the JVM."""
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("t")) for i, t in KNOWN]))
     return (spark.range(1).select(rows.alias("k"))
-            .select(digest(canonical_lines(F.col("k.t"))).alias("__digest"), F.col("k.license_id").alias("license_id"))
-            .groupBy("__digest").agg(F.min("license_id").alias("license_id")))
+            .select(digest(canonical_lines(F.col("k.t"))).alias("__digest"), F.col("k.license_id").alias("license_id"), (~F.col("k.t").contains("\n")).alias("one_line"))
+            .groupBy("__digest").agg(F.min("license_id").alias("license_id"), F.bool_or("one_line").alias("one_line")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with text_digest, license_id (whole text), line_licenses, n_license_lines."""
     keep = others(docs, MADE)
-    one_line = F.create_map(*[x for t, i in dict((t, i) for i, t in KNOWN if "\n" not in t).items() for x in (digest(canonical_lines(F.lit(t))), F.lit(i))])
-    lines = docs.select(*keep, canonical_lines(F.col("text")).alias("__lines"))
+    table = known(docs.sparkSession)
+    # A constant table, so its digests can be literals.
+    one_line = F.create_map(*[F.lit(x) for r in table.filter("one_line").collect() for x in (r["__digest"], r["license_id"])])
+    # A generator of one row keeps the optimizer from working out its input anew
+    # for each use.
+    lines = docs.select(*keep, F.explode(F.array(canonical_lines(F.col("text")))).alias("__lines"))
     hits = F.filter(F.transform("__lines", lambda x: F.element_at(one_line, F.md5(x))), lambda x: x.isNotNull())
-    hashed = lines.select(*keep, digest(F.col("__lines")).alias("text_digest"), F.coalesce(hits, F.array().cast("array<string>")).alias("__hits"))
-    return (hashed.join(F.broadcast(known(docs.sparkSession)), F.col("text_digest") == F.col("__digest"), "left")
+    hits = F.coalesce(hits, F.array().cast("array<string>"))
+    hashed = lines.select(*keep, digest(F.col("__lines")).alias("text_digest"), F.explode(F.array(hits)).alias("__hits"))
+    return (hashed.join(F.broadcast(table.drop("one_line")), F.col("text_digest") == F.col("__digest"), "left")
             .select(*keep, "text_digest", "license_id",
                     F.array_join(F.array_sort(F.array_distinct("__hits")), ",").alias("line_licenses"),
                     F.size("__hits").cast("bigint").alias("n_license_lines")))
