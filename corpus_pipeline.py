@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from kinlink.llm import decontaminate, langid, mixing, neardup, sharding
 from kinlink.llm.scratch import checkpoint_dir, tables
 
-#: A document goes if no language can be told: no letter, or no language with half
-#: of the weight.
-LEAST_SCORE = 0.5
+#: A document goes if no language can be told: no letter, or no language that leads
+#: an even share by this much (nothing in the text is known in any language).
+LEAD = 0.01
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     del spark, sf_dir
-    told = langid.predict(docs, langid.fit(docs))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    model = langid.fit(docs)
+    told = langid.predict(docs, model, ("__lang", "__score"))
+    least = 1 / len(model.langs) + LEAD if len(model.langs) > 1 else 0.0
+    return told.filter((F.col("__lang") != "und") & (F.col("__score") > least)).drop("__lang", "__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ class Model:
             total[kind, at[lang]] += n
         self.logs = {}
         for kind, rows_ in counts.items():
-            m = np.array(rows_).reshape(-1, len(self.langs))
+            m = np.array(rows_, dtype=np.float64).reshape(len(rows_), len(self.langs))
             self.logs[kind] = np.log((m + ALPHA) / (total[kind] + ALPHA * max(1, len(m)))).astype(np.float32) if len(self.langs) else m
 
     def unseen(self, word: str) -> np.ndarray | None:
@@ -144,21 +144,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP) ->
     return Model([tuple(r) for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with lang_pred and score as last columns.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (text, ...) with the prediction and its score as last columns.
 
     The model travels with the function, which Spark broadcasts.
     """
     place = docs.columns.index("text")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in kept]).dtypes) + ", lang_pred string, score double"
+    kept = [c for c in docs.columns if c not in names]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in kept]).dtypes) + f", {names[0]} string, {names[1]} double"
     where = [docs.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(model.predict(t.as_py() for t in b.column(place)))
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in where] + more, kept + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in where] + more, kept + list(names))
 
     return docs.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ def test_articles_of_the_table(spark, sf_dir):
     (f"<article>{P}<aside>{P}</aside><form>{P}</form><script>x='</p>'</script><style>p{{}}</style>{P}</article>", f"{PARAGRAPH}\n{PARAGRAPH}"),
     ("<p>a &amp; b&nbsp;&eacute; &#x41;<br>next\n  line <b>bo</b>ld", "a & b é A next line bold"),
     (f"<ul>{''.join(f'<li><a href=/{i}>link {i}</a>' for i in range(30))}</ul><div>{P}{P}</div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
-    ("no tags at all", "no tags at all"), ("", ""), (None, ""), ("<!-- only -->", ""), ("<p title='unclosed>x", ""),
+    ("no tags at all", "no tags at all"), ("", ""), (None, ""), ("<!-- only -->", ""), ("<p title='unclosed>x", "x"),
     ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
 ])
 def test_pages(html, text):

@@ -15,7 +15,7 @@ def check(rows, shards):
 def test_shards_are_exact(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = sharding.op2_uniform_shards(spark, sf_dir).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter(docs)
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(docs))
     check(rows, 40)
     for r in rows:
         raw = (docs[r["doc_id"]] or "").encode()
