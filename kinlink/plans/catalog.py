@@ -337,13 +337,14 @@ def run_stats(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("value_mean", "value_max", "value_stdev")})
 
 
-@query("""SELECT o_custkey, runs, round(price_mean, 4) AS price_mean, runs_2, price_max_2 FROM
-  (SELECT o_custkey, count(*) AS runs, avg(o_totalprice) AS price_mean FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) a JOIN
-  (SELECT o_custkey, count(*) AS runs_2, max(o_totalprice) AS price_max_2 FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) b USING (o_custkey)""")
+@query("""SELECT o_custkey, runs, price_mean, runs_2, price_max_2 FROM
+  (SELECT o_custkey, count(*) AS runs, avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS price_mean FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) a JOIN
+  (SELECT o_custkey, count(*) AS runs_2, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS price_max_2 FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) b USING (o_custkey)""")
 def run_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_totalprice", "price")
+    # Whole cents, whose sums are exact in any order.
+    orders = table(spark, sf_dir, "orders").withColumn("price", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     a, b = (stats.run_stats(orders.filter(F.col("o_orderstatus") == s), ["o_custkey"], ["price"]) for s in ("O", "F"))
-    return stats.join_runs([a, b], "o_custkey").select("o_custkey", "runs", F.round("price_mean", 4).alias("price_mean"), "runs_2", "price_max_2")
+    return stats.join_runs([a, b], "o_custkey").select("o_custkey", "runs", "price_mean", "runs_2", "price_max_2")
 
 
 @query("""SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""")
