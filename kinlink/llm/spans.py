@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.words import utf8
 
 #: Bytes of text that a map task settles at once, and of text in a document bucket.
-CHUNK, HOME = 12 << 20, 12 << 20
+CHUNK, HOME = 8 << 20, 12 << 20
 
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 

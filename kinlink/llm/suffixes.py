@@ -37,6 +37,7 @@ SPAN = LENGTH - GRAM + 1
 BATCH = 1 << 15
 #: Long texts are read in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 20
+SLICE = 1 << 18
 _PLACE = np.uint64(24)
 
 
@@ -185,20 +186,26 @@ def repeated_starts(text: bytes, size: np.ndarray, docs: np.ndarray) -> tuple[np
     the starts whose string also starts in a context of a smaller doc_id."""
     n = size - LENGTH + 1
     begin = np.cumsum(size) - size
-    which = np.repeat(np.arange(len(size)), n)
-    place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[which] + place
-    data = np.frombuffer(text, dtype=np.uint8)
-    w = words8(data)
-    print_ = w[at]
-    for j, by in zip((8, 16, 24, 32, 40, 42), (3, 5, 7, 9, 11, 13)):
-        print_ = (print_ * np.uint64(0x9E3779B97F4A7C15) ^ (print_ >> np.uint64(31))) + w[at + j] * np.uint64(2 * by + 1)
-    order = np.argsort(print_)
-    same = print_[order[1:]] == print_[order[:-1]]
+    which = np.repeat(np.arange(len(size), dtype=np.int32), n)
+    at = np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(len(which), dtype=np.int32)
+    data, mark = np.frombuffer(text, dtype=np.uint8), np.empty(len(at), dtype=np.uint64)
+    for lo in range(0, len(at), SLICE):  # in slices: the bucket's words would take its bytes eightfold
+        some = at[lo:lo + SLICE]
+        w = words8(data[some[0]:some[-1] + LENGTH])
+        some = some - some[0]
+        h = w[some]
+        for j, by in zip((8, 16, 24, 32, 40, 42), (3, 5, 7, 9, 11, 13)):
+            h = (h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(31))) + w[some + j] * np.uint64(2 * by + 1)
+        mark[lo:lo + SLICE] = h
+    order = np.argsort(mark).astype(np.int32)
+    mark = mark[order]
+    same = mark[1:] == mark[:-1]
+    del mark
     twice = np.zeros(len(order), dtype=bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
-    at, which, place = at[twice], which[twice], place[twice]
+    at, which = at[twice].astype(np.int64), which[twice].astype(np.int64)
+    place = at - begin[which]
     order = np.argsort(docs[which], kind="stable")
     hit, index = np.zeros(len(at), dtype=bool), LogIndex()
     lane = np.arange(LENGTH)
