@@ -25,9 +25,10 @@ def mask_and(left: Column, right: Column) -> Column:
 def dice(both: Column, total: Column, p: Precision) -> Column:
     """From ones in common and ones of both sides: 2 both / total, 0 if there are none."""
     if p.exact:
-        return F.when(total == 0, F.lit(0.0)).otherwise(both * 2 / total.cast("double"))
+        return both * 2 / F.greatest(total, F.lit(1).cast("bigint"))
+    # Without ones on either side the dividend is 0, so any divisor will do.
     rounded = F.shiftleft(both, p.dice + 1) + F.shiftright(total, 1)
-    return F.coalesce(int_div(rounded, total), F.lit(0).cast("bigint"))
+    return F.call_function("div", rounded, F.greatest(total, F.lit(1).cast("bigint")))
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -56,7 +57,10 @@ def register(name: str, prepare: Prepare, compare: Compare) -> None:
 
 
 def _dice_columns(b: Column, spec: FieldSpec) -> dict[str, Column]:
-    words = {f"w{i}": word_column(b, i) for i in range(n_words(spec))}
+    # Never null (an empty field has no ones, and its term is 0 anyway): the code for
+    # pairs needs no branches then.
+    zero = F.lit(0).cast("bigint")
+    words = {f"w{i}": F.coalesce(word_column(b, i), zero) for i in range(n_words(spec))}
     ones = reduce(lambda a, c: a + c, [F.bit_count(w).cast("bigint") for w in words.values()])
     return {**words, "hw": ones}
 
@@ -67,4 +71,4 @@ def _dice_compare(left, right, spec: FieldSpec, p: Precision) -> Column:
 
 
 register("dice", _dice_columns, _dice_compare)
-register("binary", lambda b, spec: {"b": b}, lambda left, right, spec, p: equal(left("b"), right("b"), p))
+register("binary", lambda b, spec: {"b": F.coalesce(b, F.lit(b""))}, lambda left, right, spec, p: equal(left("b"), right("b"), p))

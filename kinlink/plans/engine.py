@@ -11,10 +11,13 @@ The plan keeps it cheap:
 * The smaller side is broadcast if its counted rows are at most
   ``broadcast_rows``; beyond that both sides are dealt to blocks and each pair of
   blocks is one task's join, so no side has to fit anywhere as a whole.
-* Rows meet in whole-stage code up to the score, which goes into one long: quotient,
-  denominator and place within a run of server rows.  The best of a run is a maximum
-  of longs, a hash aggregate that is complete on the map side; only records times
-  runs go through the shuffle.  Wide and exact modes use structs instead.
+* Narrow configurations (``kernel="sql"``): rows meet in whole-stage code up to the
+  score, which goes into one long: quotient, denominator and place within a run of
+  server rows.  The best of a run is a maximum of longs, a hash aggregate that is
+  complete on the map side; only records times runs go through the shuffle.  Wide
+  and exact modes use structs instead.
+* Wide ones (``kernel="arrow"``), whose code would pass the JVM's limits, go through
+  vector operations on Arrow batches (``operators.kernel``).  Results are equal.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.functions.codec import n_words
 from kinlink.operators.fold import PackedKey, check_long, float_key, long_key
-from kinlink.operators.score import field_terms, pair_scores, passes, prepared
+from kinlink.operators.kernel import block_best, local_best
+from kinlink.operators.score import field_terms, pair_scores, passes, prepared, term_pairs
 from kinlink.plans.config import LinkageConfig
 from kinlink.plans.precision import Precision
 
 BROADCAST_ROWS = 200_000
 #: Rows of a block where no side may be broadcast.
 BLOCK_ROWS = 100_000
+#: Words that a pair compares, up to which whole-stage code stays small.
+SQL_WORDS = 12
 MODES = ("int8", "int16", "int32", "int64", "exact")
 
 
@@ -53,6 +60,13 @@ class LinkageEngine:
     dice_precision: int | None = None
     weight_precision: int | None = None
     broadcast_rows: int = BROADCAST_ROWS
+    kernel: str = "auto"
+
+    @property
+    def uses_arrow(self) -> bool:
+        if self.kernel != "auto":
+            return self.kernel == "arrow"
+        return sum(n_words(self.config.fields[a]) for a, _ in term_pairs(self.config)) > SQL_WORDS
 
     @property
     def precision(self) -> Precision:
@@ -69,10 +83,7 @@ class LinkageEngine:
         n, d = client.select("record_idx").count(), server.select("row_idx").count()
         if min(n, d) <= self.broadcast_rows:
             small, large = (left, right) if n <= d else (right, left)
-            cores = client.sparkSession.sparkContext.defaultParallelism
-            if max(n, d) <= cores * BLOCK_ROWS:
-                # Few rows in one file would otherwise be one task.
-                large = large.repartition(2 * cores, "row_idx" if n <= d else "record_idx")
+            large = self._spread(large, max(n, d), "row_idx" if n <= d else "record_idx")
             return large.crossJoin(F.broadcast(small))
         lb, rb = -(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)
         left = left.withColumn("__lb", F.pmod(F.xxhash64("record_idx"), F.lit(lb))).withColumn("__rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rb - 1).cast("bigint"))))
@@ -92,7 +103,7 @@ class LinkageEngine:
         and nothing matches.
         """
         p, config = self.precision, self.config
-        best = self._best(self.scores(client, server), p)
+        best = self._best(self._candidates(client, server, p), p)
         ids = server.select(F.col("row_idx").alias("best_index"), (F.col("id") if "id" in server.columns else F.lit(None)).cast("string").alias("best_id"))
         out = client.select("record_idx").join(best, "record_idx", "left").join(ids, "best_index", "left")
         zero = F.lit(0.0) if p.exact else F.lit(0).cast("bigint")
@@ -102,6 +113,22 @@ class LinkageEngine:
             passes(num, den, p, config.threshold).alias("match"), passes(num, den, p, config.tentative_threshold).alias("tentative_match"),
             num.alias("sum_field_weights"), (den if p.exact else F.shiftleft(den, p.dice)).alias("sum_weights"))
 
+    def _candidates(self, client: DataFrame, server: DataFrame, p: Precision) -> DataFrame:
+        """Scores of all pairs, or of those that may still be best."""
+        if not self.uses_arrow:
+            return self.scores(client, server)
+        check_columns(client, self.config, "record_idx")
+        check_columns(server, self.config, "row_idx")
+        n, d = client.select("record_idx").count(), server.select("row_idx").count()
+        if min(n, d) <= self.broadcast_rows:
+            return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, p, n <= d)
+        return block_best(client, server, self.config, p, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)))
+
+    def _spread(self, df: DataFrame, rows: int, key: str) -> DataFrame:
+        """Few rows in one file would otherwise be one task."""
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(2 * cores, key) if rows <= cores * BLOCK_ROWS else df
+
     def _best(self, scores: DataFrame, p: Precision) -> DataFrame:
         layout = PackedKey.of(p, self.config)
         if layout is None:
@@ -121,9 +148,12 @@ class LinkageEngine:
         """One row: how many client records match, and tentatively match.
 
         The test is monotone in the quotient, so the best row passes if any does:
-        no argmax, two booleans per record.
+        no argmax, two booleans per record (the arrow kernel has the best rows anyway).
         """
         p = self.precision
+        if self.uses_arrow:
+            best = self.link(client, server)
+            return best.agg(*[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).cast("bigint").alias(a) for c, a in (("match", "matches"), ("tentative_match", "tentative_matches"))])
 
         def any_passes(threshold: float) -> Column:
             return F.max(passes(F.col("num"), F.col("den"), p, threshold).cast("int"))

@@ -73,17 +73,22 @@ def test_equals_row_by_row_evaluation(spark, groups, mode):
     rng, config = random.Random(len(groups)), config_of(groups)
     client, server = records(rng, config, 12), records(rng, config, 25)
     left, right = frames(spark, config, client, server)
-    close(rows(LinkageEngine(config, mode).link(left, right)), link(config, mode, client, server), mode)
+    want = link(config, mode, client, server)
+    for kernel in ("sql", "arrow"):
+        close(rows(LinkageEngine(config, mode, kernel=kernel).link(left, right)), want, mode)
 
 
-def test_block_join_and_both_broadcasts(spark, monkeypatch):
+@pytest.mark.parametrize("kernel", ["sql", "arrow"])
+def test_block_join_and_both_broadcasts(spark, monkeypatch, kernel):
     rng, config = random.Random(9), config_of([["m0", "m1"]])
     client, server = records(rng, config, 17), records(rng, config, 11)
     left, right = frames(spark, config, client, server)
     want = link(config, "int32", client, server)
-    assert rows(LinkageEngine(config).link(left, right)) == want
+    assert rows(LinkageEngine(config, kernel=kernel).link(left, right)) == want
+    more = LinkageEngine(config, kernel=kernel).link(right.withColumnRenamed("row_idx", "record_idx"), left.withColumnRenamed("record_idx", "row_idx"))
+    assert rows(more) == link(config, "int32", server, client)
     monkeypatch.setattr(e, "BLOCK_ROWS", 4)
-    blocked = LinkageEngine(config, broadcast_rows=0)
+    blocked = LinkageEngine(config, broadcast_rows=0, kernel=kernel)
     assert rows(blocked.link(left, right)) == want
     c = blocked.count(left, right).first()
     assert (c["matches"], c["tentative_matches"]) == (sum(w[1] for w in want), sum(w[2] for w in want))
@@ -96,13 +101,15 @@ def test_place_in_runs_beyond_one(spark):
     server = spark.createDataFrame([(i, str(i), b"\xde\xad\xbe\x0f" if i >= 2**25 else b"\0\0\0\0") for i in (5, 2**25 + 3, 2**25 + 9, 2**40)], names)
     left, _ = frames(spark, config, client, [])
     for mode in MODES:
-        assert LinkageEngine(config, mode).link(left, server).first()["best_index"] == 2**25 + 3
+        for kernel in ("sql", "arrow"):
+            assert LinkageEngine(config, mode, kernel=kernel).link(left, server).first()["best_index"] == 2**25 + 3
 
 
 def test_empty_sides(spark):
     config, client, server, _ = fixture("empty")
     left, right = frames(spark, config, client, server)
-    for mode in MODES:
+    for mode, kernel in [(m, k) for m in MODES for k in ("sql", "arrow")]:
+        LinkageEngine = lambda c, m: e.LinkageEngine(c, m, kernel=kernel)  # noqa: E731, N806
         r = LinkageEngine(config, mode).link(left, right.limit(0)).first()
         assert (r["best_index"], r["best_id"], r["match"], r["tentative_match"], r["sum_weights"]) == (None, None, False, False, 0)
         assert LinkageEngine(config, mode).link(left.limit(0), right).count() == 0
