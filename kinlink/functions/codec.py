@@ -97,6 +97,12 @@ def word_column(b: Column, i: int) -> Column:
     return F.when(b.isNotNull(), F.conv(part, 16, -10).cast("bigint"))
 
 
+def bit_text(b: Column) -> Column:
+    """Bytes as text of eight binary digits each, parted by spaces."""
+    one = F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.lpad(F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 2), 8, "0"))
+    return F.when(F.length(b) == 0, F.lit("")).otherwise(F.array_join(one, " "))
+
+
 def n_words(spec: FieldSpec) -> int:
     return -(-spec.nbytes // 8)
 

@@ -101,3 +101,7 @@ def test_share_vectors(spark):
     assert row["p"] == [[1, 2], [3, 4], [5]] and row["v"] == [1, 2, 3, 4, 5] * 2 and row["r"] == [1, 1]
     with pytest.raises(ValueError):
         shares.Share(F.lit(1), 33)
+
+
+def test_bit_text(spark):
+    assert values(spark, "binary", [b"\x05\xff", b"\x00", b""], codec.bit_text(F.col("x"))) == [("00000101 11111111",), ("00000000",), ("",)]
