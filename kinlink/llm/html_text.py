@@ -54,36 +54,57 @@ JUNK_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising ad
 consent gdpr notice notices notification alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead
 share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay comment comments
 disqus replies respond widget toolbar pagination pager copyright disclaimer skip sr outbrain taboola""".split())
+JUNK_PARTS = re.compile(r"side[-_ ]?bar|comment|advert|breadcrumb|newsletter|cookie|sponsor|pagination|nav[-_]?bar|masthead|disclaimer|subscri", re.I)
+CONTENT_WORDS = frozenset("article entry post content story page title main".split())
 SAFE = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+#: How surely an element is boilerplate. LIKELY ones stay if they hold most of the
+#: page's text: whole pages in a form, or content that is "with-sidebar".
+LIKELY, SURELY = 1, 2
 
 
-def is_junk(tag: str, attrs: str) -> bool:
+def is_junk(tag: str, attrs: str) -> int:
+    found = 0
     if tag in JUNK_TAGS:
-        return True
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
+        found = LIKELY if tag in ("form", "fieldset") else SURELY
+    if found == SURELY or "=" not in attrs and "hidden" not in attrs:
+        return found
     for m in MARKS.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return tag not in SAFE
+            return 0 if tag in SAFE else SURELY
         if key == "role" and value.lower() in JUNK_ROLES:
-            return True
+            found = max(found, LIKELY if value.lower() == "form" else SURELY)
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return tag not in SAFE
-        if key in ("class", "id"):
+            return 0 if tag in SAFE else SURELY
+        if key in ("class", "id") and tag not in ("html", "body", "main"):
             words = {w.lower() for w in TOKENS.findall(value)}
-            if words & JUNK_WORDS and tag not in ("html", "body", "main") and not (tag == "article" and not words & {"comment", "comments", "ad", "related"}):
-                return True
-    return False
+            named = bool(words & JUNK_WORDS) or JUNK_PARTS.search(value) is not None or "header" in words and not words & CONTENT_WORDS
+            if tag == "article":
+                named = bool(words & {"comment", "comments", "ad", "related"})
+            found = max(found, LIKELY * named)
+    return found
 
 
 class Page:
     """Elements of a page in document order, with their own texts."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.junk = ["#root"], [-1], [False]
+        self.tag, self.parent, self.junk = ["#root"], [-1], [0]
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._parse(html)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Boilerplate is inherited; what is only likely goes if it is the lesser part."""
+        size = [0] * len(self.tag)
+        for node, _, text in self.texts:
+            size[node] += len(text.strip())
+        for k in range(len(self.tag) - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+        for k in range(1, len(self.tag)):
+            own = self.junk[k] == SURELY or self.junk[k] == LIKELY and 2 * size[k] <= size[0]
+            self.junk[k] = bool(self.junk[self.parent[k]]) or own
 
     def _parse(self, html: str) -> None:
         stack, block, at, n = [0], 0, 0, len(html)
@@ -151,9 +172,10 @@ class Page:
             up = stack[-1]
             tag.append(name)
             parent.append(up)
-            bad = junk[up] or is_junk(name, attrs)
-            if name == "header" and not bad:  # a page's header, not an article's
-                bad = not any(tag[k] in ("article", "main") for k in stack)
+            bad = is_junk(name, attrs)
+            inside = any(tag[k] in ("article", "main") for k in stack)
+            if name == "header":  # a page's header, not an article's
+                bad = bad if bad == SURELY or inside else LIKELY
             junk.append(bad)
             if name not in VOID and not attrs.endswith("/"):
                 stack.append(len(tag) - 1)
@@ -217,8 +239,9 @@ class Page:
                 keep[k] = True
             elif home is None and k in on_path:
                 keep[k] = True  # own text of the path: not in any child
-            elif home is None and k and parent[k] in on_path and dens[k] >= least and 2 * lchars[k] <= chars[k]:
-                keep[k] = True
+            elif home is None and k and parent[k] in on_path and 2 * lchars[k] <= chars[k]:
+                # Beside the path: as dense as the path, or a heading before the kernel.
+                keep[k] = dens[k] >= least or tag[k] in HEADINGS and k < kernel
         return keep
 
     def text(self) -> str:

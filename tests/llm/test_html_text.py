@@ -26,6 +26,9 @@ def test_articles_of_the_table(spark, sf_dir):
     (f"<article>{P}<aside>{P}</aside><form>{P}</form><script>x='</p>'</script><style>p{{}}</style>{P}</article>", f"{PARAGRAPH}\n{PARAGRAPH}"),
     ("<p>a &amp; b&nbsp;&eacute; &#x41;<br>next\n  line <b>bo</b>ld", "a & b é A next line bold"),
     (f"<ul>{''.join(f'<li><a href=/{i}>link {i}</a>' for i in range(30))}</ul><div>{P}{P}</div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+    (f"<body><div id='header'><h2>My site</h2>Welcome</div><h1>Title</h1><div class='text'>{P}{P}{P}</div><div id=sideBar>{P}</div><ol class=commentlist><li>{P}</ol></body>", "Title\n" + "\n".join([PARAGRAPH] * 3)),
+    (f"<body><form id=aspnet><div class='content with-sidebar'>{P}{P}{P}</div><div class=promo>{P}</div></form></body>", "\n".join([PARAGRAPH] * 3)),
+    (f"<article><header><h1>Title</h1></header>{P}<div hidden>{P}</div><section id=comments><article class=comment>{P}</article></section></article>", f"Title\n{PARAGRAPH}"),
     ("no tags at all", "no tags at all"), ("", ""), (None, ""), ("<!-- only -->", ""), ("<p title='unclosed>x", "x"),
     ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
 ])
