@@ -66,7 +66,8 @@ class LinkageEngine:
     def uses_arrow(self) -> bool:
         if self.kernel != "auto":
             return self.kernel == "arrow"
-        return sum(n_words(self.config.fields[a]) for a, _ in term_pairs(self.config)) > SQL_WORDS
+        words = sum(n_words(self.config.fields[a]) for a, _ in term_pairs(self.config))
+        return words > SQL_WORDS or PackedKey.of(self.precision, self.config) is None
 
     @property
     def precision(self) -> Precision:
