@@ -133,7 +133,10 @@ SELECT record_idx, CAST(sum(CASE WHEN l.number = r.number THEN {1 << _p('person'
        CAST(sum(CASE WHEN (l.balance & 65535) = (r.balance & 65535) THEN {1 << _p('person').dice} ELSE 0 END) AS BIGINT) AS balance
 FROM l, r GROUP BY record_idx""")
 def equality_term(spark, sf_dir):
-    eq = lambda n: F.sum(compare.equal(F.col(f"l_{n}_b"), F.col(f"r_{n}_b"), _p("person"))).cast("bigint").alias(n)
+    def eq(n):
+        here = F.col(f"l_{n}_here") & F.col(f"r_{n}_here")
+        return F.sum(F.when(here, compare.equal(F.col(f"l_{n}_b"), F.col(f"r_{n}_b"), _p("person"))).otherwise(0)).cast("bigint").alias(n)
+
     return _pairs(spark, sf_dir, "person").groupBy("record_idx").agg(eq("number"), eq("balance"))
 
 
