@@ -137,7 +137,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP) ->
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (labelled.join(F.broadcast(sizes), "lang").filter(draw * F.col("__n") < per_language).select("lang", "text"))
-    counted = (sample.mapInArrow(count_texts, "lang string, kind int, entry string, n bigint")
+    # The sample is bounded, so it can be spread: one file would be one task.
+    spread = sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    counted = (spread.mapInArrow(count_texts, "lang string, kind int, entry string, n bigint")
                .groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")))
     top = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
     rows = counted.withColumn("__r", top).filter(F.col("__r") <= keep).drop("__r").collect()
