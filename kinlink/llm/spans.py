@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.words import utf8
 
 #: Bytes of text that a map task settles at once, and of text in a document bucket.
-CHUNK, HOME = 8 << 20, 12 << 20
+CHUNK, HOME = 8 << 20, 6 << 20
 
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -78,6 +78,8 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Ch
             if size >= limit:
                 yield Chunk(rows)
                 rows, size = [], 0
+                # Workers live on: give back what Arrow keeps of earlier batches.
+                pa.default_memory_pool().release_unused()
     if rows:
         yield Chunk(rows)
 
@@ -126,6 +128,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= CHUNK:
                 yield flush()
                 size = 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield flush()
 
@@ -140,6 +143,7 @@ def _texts(blobs: list[bytes]) -> Iterator[tuple[int | None, int, bytes]]:
 
 
 def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     parts = [[], [], [], []]
     for blob in lost["blob"].to_pylist():
         i, t, d, s, n = unpack(blob)
