@@ -1,29 +1,28 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, edit verification.
-
-Texts and items are compared as lower-case (A-Z) words joined by one space.
-
-1. Windows: a window has as many words as the item.  By the q-gram lemma, a
-   window that shares no run of ``RUN`` words with an item of n words is at least
-   (n - RUN + 1) / RUN edits away, so only windows around a shared run are
-   embedded, each placed where the run has its place in the item.
-2. Each window is embedded by ``WALKS`` seeded CGK random walks: at step j the
-   current byte is written, and read again or passed by a random bit of (j, byte).
-   An edit disturbs the walk only until both walks meet again, so edit distance
-   becomes Hamming distance.
-3. ``SAMPLES`` times per walk ``BITS`` places of the embedding make a key.  A
-   window and an item with an equal key are a candidate pair.  With half of the
-   places equal one key meets with probability 0.06, and one of all
-   WALKS * SAMPLES keys with 0.98; for copies nearer than ``RATIO`` more places
-   are equal (a test measures recall).
-4. Candidates are verified exactly: the smallest edit distance between the item
-   and any part of the window, widened by ``WIDEN`` words on both sides, must be
-   at most ``RATIO`` of the item's bytes.
+"""Benchmark decontamination: complete seeds, q-gram counts, edit verification.
+
+Texts and items are compared as lower-case (A-Z) words joined by one space.  An
+item of m bytes leaks where a part of a text is within e = RATIO * m edits.
+
+1. Seeds: an item is cut into e + 1 pieces of nearly equal size.  e edits leave at
+   least one piece whole (pigeonhole), so every leak holds a piece byte by byte, at
+   most e bytes away from its place in the item.  Nothing is sampled.
+2. Windows: the item's place by a seed, widened by e bytes on both sides and by the
+   width of the bucket that nearby places share; it holds the whole leak, inserted
+   and removed bytes included.
+3. Counts: an edit spoils at most ``GRAM`` of an item's ``GRAM``-byte grams, so
+   windows without m - GRAM + 1 - GRAM * e of them are left out.  Hashed to
+   ``PRINT`` bits, which can only let more windows pass.
+4. What remains is verified exactly: the smallest edit distance between the item
+   and any part of the window must be at most e.
+
+So all leaks within RATIO are found.  CGK embedding and LSH keys, used before,
+lose some and are not needed.
 
 Every row is decided on its own row; nothing is shuffled.  Items are broadcast in
 blocks of at most ``ITEM_BYTES``; larger benchmarks take several passes.
 
 Defined results: null and empty texts match nothing; items that are null or have
-under ``RUN`` words match nothing; equal items each match; repeated rows each
+under ``LEAST_WORDS`` words match nothing; equal items each match; repeated rows each
 match; an empty table or benchmark gives an empty result; null ids are carried;
 further columns are ignored by ``find_leaks`` and kept by ``without_leaks``.
 """
@@ -38,54 +37,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import tables
-from kinlink.llm.words import LOWER, blocks, mix, word_hashes, word_spans
+from kinlink.llm.words import LOWER, SPACES, blocks
 
-RUN, RATIO, WIDEN = 3, 0.1, 2
-WALKS, SAMPLES, BITS = 3, 22, 4
-CLASS = 32
+LEAST_WORDS, RATIO = 3, 0.1
+GRAM, PRINT = 4, 1 << 12
 ITEM_BYTES = 16 << 20
-FILTER_BITS = 20
-#: Windows that are embedded at once.
-LOT = 20_000
-
-_RUN_WEIGHTS = mix(np.arange(11, 11 + RUN, dtype=np.uint64)) | np.uint64(1)
-
-
-def runs(words: np.ndarray) -> np.ndarray:
-    """Hash of the RUN words from each word on."""
-    m = len(words) - RUN + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    return mix(sum((words[j:m + j] * _RUN_WEIGHTS[j] for j in range(1, RUN)), words[:m] * _RUN_WEIGHTS[0]))
-
-
-def size_class(n: int) -> int:
-    return -(-max(n, 1) // CLASS) * CLASS
-
-
-def embed_keys(texts: list[bytes], size: int) -> np.ndarray:
-    """Keys (one row per text) of texts of the size class ``size``."""
-    n, steps = len(texts), 2 * size
-    width = max(max(map(len, texts), default=0), 1) + 1
-    x = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), dtype=np.uint8).reshape(n, width)
-    rows, last = np.arange(n), width - 1
-    keys = np.zeros((n, WALKS * SAMPLES), dtype=np.uint64)
-    for w in range(WALKS):
-        rng = np.random.default_rng([97, w, size])
-        bits = rng.integers(0, 2, (steps, 256), dtype=np.int64)
-        places = np.sort(rng.integers(0, steps, (SAMPLES, BITS)), axis=1)
-        written = np.empty((steps, n), dtype=np.uint8)
-        at = np.zeros(n, dtype=np.int64)
-        for j in range(steps):
-            byte = x[rows, at]
-            written[j] = byte
-            at = np.minimum(at + bits[j][byte], last)
-        for s in range(SAMPLES):
-            k = np.full(n, (w * SAMPLES + s) * 1_000_003 + size, dtype=np.uint64)
-            for b in range(BITS):
-                k = (k << np.uint64(8)) ^ (k >> np.uint64(56)) ^ written[places[s, b]]
-            keys[:, w * SAMPLES + s] = mix(k)
-    return keys
+#: Bytes of text that are searched at once, and windows that are counted at once.
+PIECE, LOT = 1 << 20, 4096
+
+_NORMAL = LOWER.copy()
+_NORMAL[SPACES] = 0x20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_at(data: np.ndarray, kind: str) -> np.ndarray:
+    """The little-endian number of ``kind`` from each byte on; ``data`` is padded for it."""
+    return np.ndarray((len(data) - 8,), dtype=kind, buffer=data, strides=(1,))
+
+
+def squeezed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words joined by one space (one may trail), padded by 8 bytes; offsets; what is kept."""
+    space = SPACES[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    full = np.flatnonzero(offs[1:] > offs[:-1])
+    keep[offs[full]] = ~space[offs[full]]
+    size = np.zeros(len(offs), dtype=np.int64)
+    if len(full):
+        size[full + 1] = np.add.reduceat(keep, offs[full], dtype=np.int64)
+    return np.append(_NORMAL[data[keep]], np.zeros(8, dtype=np.uint8)), np.cumsum(size), keep
+
+
+def gram_prints(four: np.ndarray) -> np.ndarray:
+    return ((four.astype(np.uint64) * _ODD) >> np.uint64(40)).astype(np.int64) % PRINT
 
 
 def nearest(item: bytes, text: bytes) -> tuple[int, int]:
@@ -110,92 +94,101 @@ def nearest(item: bytes, text: bytes) -> tuple[int, int]:
 
 
 class Index:
-    """The items of one block: runs with their places, LSH keys, texts."""
+    """The items of one block: texts, their pieces by length, prints of their grams."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         words = [(i, (t or "").encode().translate(LOWER.tobytes()).split()) for i, t in rows]
-        words = [(i, w) for i, w in words if len(w) >= RUN]
+        words = [(i, w) for i, w in words if len(w) >= LEAST_WORDS]
         self.ids = [i for i, _ in words]
         self.texts = [b" ".join(w) for _, w in words]
-        self.n_words = np.array([len(w) for _, w in words], dtype=np.int64)
-        self.classes = np.array([size_class(len(t)) for t in self.texts], dtype=np.int64)
-        grams, item, place = [], [], []
-        for k, text in enumerate(self.texts):
-            data = np.frombuffer(text, dtype=np.uint8)
-            g = runs(word_hashes(data, np.array([0, len(data)]))[0])
-            grams.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, dtype=t)
-        g = cat(grams, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.grams, self.item, self.place = g[order], cat(item, np.int64)[order], cat(place, np.int64)[order]
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self.grams >> np.uint64(64 - FILTER_BITS)] = True
-        keys, owner = [], []
-        for c in np.unique(self.classes).tolist():
-            own = np.flatnonzero(self.classes == c)
-            keys.append(embed_keys([self.texts[i] for i in own], c).ravel())
-            owner.append(np.repeat(own, WALKS * SAMPLES))
-        k = cat(keys, np.uint64)
-        order = np.argsort(k, kind="stable")
-        self.keys, self.owner = k[order], cat(owner, np.int64)[order]
-
-    def windows(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, first word, number of words, class) of windows around shared runs."""
-        g = runs(words)
-        hit = np.flatnonzero(self.filter[g >> np.uint64(64 - FILTER_BITS)]) if len(g) else np.zeros(0, dtype=np.int64)
-        lo = np.searchsorted(self.grams, g[hit], "left")
-        many = np.searchsorted(self.grams, g[hit], "right") - lo
-        ends = np.cumsum(counts)
-        doc = np.searchsorted(ends, hit, "right")
-        many[hit + RUN > ends[np.minimum(doc, len(ends) - 1)]] = 0
-        which = np.repeat(np.arange(len(hit)), many)
-        at = np.repeat(lo, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-        item, doc = self.item[at], doc[which]
-        first = np.maximum(hit[which] - self.place[at], (ends - counts)[doc])
-        rows = np.unique(np.stack([doc, first, self.n_words[item], self.classes[item]]), axis=1)
-        return tuple(rows)
+        self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.edits = np.array([int(RATIO * len(t)) for t in self.texts], dtype=np.int64)
+        self.prints, pieces = [], {}
+        for k, (text, e) in enumerate(zip(self.texts, self.edits.tolist())):
+            data = np.append(np.frombuffer(text, dtype=np.uint8), np.zeros(8, dtype=np.uint8))
+            self.prints.append(gram_prints(words_at(data, "<u4")[:len(text) - GRAM + 1]))
+            cuts = [len(text) * j // (e + 1) for j in range(e + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                head, tail = text[a:min(b, a + 8)], text[max(a, b - 8):b]
+                pieces.setdefault(len(head), []).append((int.from_bytes(head, "little"), int.from_bytes(tail, "little"), b - a, k, a))
+        self.starts = np.cumsum([0, *map(len, self.prints)])
+        self.flat = np.concatenate(self.prints) if self.prints else np.zeros(0, dtype=np.int64)
+        self.seeds = []  # per length of head: mask, filter's shift and filter, heads, tails, lengths, items, places
+        for n, rows in sorted(pieces.items()):
+            rows.sort()
+            head, tail = (np.array([r[c] for r in rows], dtype=np.uint64) for c in (0, 1))
+            length, item, place = (np.array([r[c] for r in rows], dtype=np.int64) for c in (2, 3, 4))
+            bits = min(26, max(16, (16 * len(rows)).bit_length()))
+            seen = np.zeros(1 << bits, dtype=bool)
+            seen[(head * _ODD) >> np.uint64(64 - bits)] = True
+            self.seeds.append((np.uint64((1 << 8 * n) - 1), np.uint64(64 - bits), seen, head, tail, length, item, place))
+
+    def windows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first byte, end) around each piece that is in ``data``."""
+        eight, found = words_at(data, "<u8"), []
+        for at in range(0, len(eight), PIECE):
+            here = np.ascontiguousarray(eight[at:at + PIECE])
+            for mask, shift, seen, head, tail, length, item, place in self.seeds:
+                some = here & mask
+                hit = np.flatnonzero(seen[(some * _ODD) >> shift])
+                lo = np.searchsorted(head, some[hit], "left")
+                many = np.searchsorted(head, some[hit], "right") - lo
+                which = np.repeat(np.arange(len(hit)), many)
+                p = np.repeat(lo, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                begin = hit[which] + at
+                last = np.minimum(begin + np.maximum(length[p] - 8, 0), len(eight) - 1)
+                good = (eight[last] & mask) == tail[p]
+                begin, p = begin[good], p[good]
+                doc = np.searchsorted(offs, begin, "right") - 1
+                e = self.edits[item[p]]
+                bucket = (begin - offs[doc] - place[p]) // (e + 1)  # nearby places share a window
+                found.append(np.stack([doc, item[p], bucket]))
+        if not found:
+            return (np.zeros(0, dtype=np.int64),) * 4
+        doc, item, bucket = np.unique(np.concatenate(found, axis=1), axis=1)
+        e, size = self.edits[item], self.size[item]
+        first = offs[doc] + bucket * (e + 1) - e
+        end = np.minimum(first + size + 3 * e, offs[doc + 1])
+        return doc, item, np.maximum(first, offs[doc]), end
+
+    def likely(self, data: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the windows that hold enough of their item's grams."""
+        four, out = words_at(data, "<u4"), []
+        for lot in range(0, len(item), LOT):
+            k, a = item[lot:lot + LOT], first[lot:lot + LOT]
+            n = end[lot:lot + LOT] - a
+            row = np.arange(len(k)) * PRINT
+            marks = np.zeros(len(k) * PRINT, dtype=bool)
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            marks[gram_prints(four[at]) + np.repeat(row, n)] = True
+            n = self.starts[k + 1] - self.starts[k]
+            ends = np.cumsum(n)
+            at = np.repeat(self.starts[k] - (ends - n), n) + np.arange(int(ends[-1]))
+            shared = np.add.reduceat(marks[self.flat[at] + np.repeat(row, n)], ends - n, dtype=np.int64)
+            out.append(lot + np.flatnonzero(shared >= n - GRAM * self.edits[k]))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def leaks(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, edit distance, place of the match in the joined words)."""
-        known: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for base, _, data, offs in blocks(column):
-            data = LOWER[data]
-            words, counts = word_hashes(data, offs)
-            doc, first, size, cls = self.windows(words, counts)
-            if not len(doc):
+        """(row, item, edit distance, place of the window in the text)."""
+        known: dict[tuple[int, bytes], int] = {}
+        for base, _, raw, offs in blocks(column, PIECE):
+            if not len(raw):
                 continue
-            spans = [(s + lo, e + lo) for s, e, _, lo in word_spans(data, offs)]
-            begin, end = np.concatenate([s for s, _ in spans]), np.concatenate([e for _, e in spans])
-            raw, ends = data.tobytes(), np.cumsum(counts)
-            starts = ends - counts
-            joined = lambda a, b: b" ".join(raw[begin[a]:end[b - 1]].split())
+            data, ends, keep = squeezed(raw, offs)
+            doc, item, first, end = self.windows(data, ends)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for c in np.unique(cls).tolist():
-                mine = np.flatnonzero(cls == c)
-                for lot in range(0, len(mine), LOT):
-                    some = mine[lot:lot + LOT]
-                    texts = [joined(first[i], min(first[i] + size[i], ends[doc[i]])) for i in some]
-                    keys = embed_keys(texts, c)
-                    a = np.searchsorted(self.keys, keys, "left")
-                    many = (np.searchsorted(self.keys, keys, "right") - a).ravel()
-                    w = np.repeat(np.repeat(np.arange(len(some)), keys.shape[1]), many)
-                    at = np.repeat(a.ravel(), many) + np.arange(len(w)) - np.repeat(np.cumsum(many) - many, many)
-                    pairs = np.unique(np.stack([w, self.owner[at]]), axis=1) if len(w) else np.zeros((2, 0), dtype=np.int64)
-                    for i, item in zip(some[pairs[0]].tolist(), pairs[1].tolist()):
-                        d, text = int(doc[i]), self.texts[item]
-                        lo = max(int(first[i]) - WIDEN, int(starts[d]))
-                        wide = joined(lo, min(int(first[i] + size[i]) + WIDEN, int(ends[d])))
-                        got = known.get((item, wide))
-                        if got is None:
-                            if len(known) > 50_000:
-                                known.clear()
-                            got = known[item, wide] = nearest(text, wide)
-                        if got[0] <= RATIO * len(text):
-                            best[d, item] = min(best.get((d, item), (len(text), 0)), (got[0], int(begin[lo] - offs[d])))
-            for (d, item), (edits, place) in sorted(best.items()):
-                yield base + d, item, edits, place
+            for i in self.likely(data, item, first, end).tolist():
+                d, k, a = int(doc[i]), int(item[i]), int(first[i])
+                wide = data[a:end[i]].tobytes()
+                got = known.get((k, wide))
+                if got is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                    got = known[k, wide] = nearest(self.texts[k], wide)[0]
+                if got <= self.edits[k]:
+                    best[d, k] = min(best.get((d, k), (len(self.texts[k]), 0)), (got, a - int(ends[d])))
+            for (d, k), (edits, place) in sorted(best.items()):
+                yield base + d, k, edits, int(np.flatnonzero(keep[offs[d]:offs[d + 1]])[place])
 
 
 def item_blocks(items: DataFrame, limit: int = ITEM_BYTES) -> Iterator[Index]:

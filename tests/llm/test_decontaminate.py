@@ -76,3 +76,46 @@ def test_odd_rows(spark, odd, none):
     assert d.without_leaks(odd, bench).count() == odd.count() - 2
     assert d.find_leaks(none, bench).count() == 0 and d.find_leaks(odd, bench.limit(0)).count() == 0
     assert d.without_leaks(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_finds_edits_spread_evenly(spark):
+    """One letter in every third word: no three words in a row stay, all within RATIO."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(5, 60)))) for k in range(60)]
+    docs = []
+    for k, t in items:
+        words = t.split()
+        for at in range(2, len(words), 3):
+            words[at] = words[at][:1] + "z" + words[at][2:]
+        assert plain(t.encode(), " ".join(words).encode()) <= d.RATIO * len(t)
+        docs.append((k, " ".join([*(word() for _ in range(40)), *words, *(word() for _ in range(40))])))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(df, bench).collect()}
+    assert got == {(k, k) for k, _ in items}
+    assert d.without_leaks(df, bench).count() == 0
+
+
+def test_equals_brute_force_up_to_the_bound():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6)))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(3, 25)))) for k in range(40)]
+    texts = []
+    for _ in range(120):
+        t = list(rng.choice(items)[1])
+        for _ in range(int(len(t) * rng.uniform(0, 0.13))):
+            at = rng.randrange(len(t))
+            t[at:at + rng.randrange(2)] = rng.choice(["", "a", " ", "d"])
+        texts.append("".join([" ".join(word() for _ in range(15)), rng.choice([" ", " \n\t"]), "".join(t), " ", word()]))
+    index = d.Index(items)
+    got = {(row, item): edits for row, item, edits, _ in index.leaks(pa.array(texts))}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(index.texts):
+            edits = plain(item, " ".join(t.split()).encode())
+            if edits <= d.RATIO * len(item):
+                want[i, k] = edits
+    assert len(want) > 60 and got == want
