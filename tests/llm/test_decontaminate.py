@@ -119,3 +119,20 @@ def test_equals_brute_force_up_to_the_bound():
             if edits <= d.RATIO * len(item):
                 want[i, k] = edits
     assert len(want) > 60 and got == want
+
+
+def test_finds_inserted_words_in_long_items():
+    """8 % of the bytes come in as short words, far more than two."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(40, 120)))) for k in range(30)]
+    texts = []
+    for k, t in items:
+        words, more = t.split(), int(0.08 * len(t)) // 2
+        words[len(words) // 2:len(words) // 2] = [rng.choice("qxyz") for _ in range(more)]
+        assert more > 5 and plain(t.encode(), " ".join(words).encode()) <= d.RATIO * len(t)
+        texts.append(" ".join([*(word() for _ in range(30)), *words, *(word() for _ in range(30))]))
+    got = {(row, item) for row, item, _, _ in d.Index(items).leaks(pa.array(texts))}
+    assert got == {(k, k) for k, _ in items}
