@@ -162,6 +162,7 @@ def _doc(df: DataFrame, key: str) -> DataFrame:
 
 
 def doc_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: the documents that have a label, as in the SQL twin; the server side is all documents."""
     t = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return _doc(t, "record_idx")
 
