@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import cut
@@ -13,20 +13,27 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def _anew(key: Column) -> Column:
+    """The same number, which Spark doesn't know to be dealt out already."""
+    return key.bitwiseXOR(F.lit(0).cast("bigint"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of ``edges`` (u, v); root is the smallest id.
 
-    Both rounds aggregate a minimum per node before the join, so a node with
-    very many neighbours is combined on the map side; every round is cut.
+    Both rounds aggregate a minimum per node, on the map side, and join it back to
+    the node's edges.  A node with very many neighbours is one key of that join:
+    its other side is exchanged anew (``_anew``), so that Spark sees two plain
+    exchanges and splits the key's edges over tasks.  Every round is cut.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     seen = _mark(e)
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, F.col("u") == _anew(F.col("k"))).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k"))
+        small = large.join(low, F.col("u") == _anew(F.col("k")))
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = _mark(e)

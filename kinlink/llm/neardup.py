@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm.components import components
-from kinlink.llm.scratch import cut, tables
+from kinlink.llm.scratch import cut, keeps_names, tables
 from kinlink.llm.words import LOWER, blocks, mix, shingles, word_hashes
 
 WORDS, CHUNKS, WIDTH = 5, 9, 5
@@ -114,7 +114,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(long, short)
             same = int((long[np.minimum(at, len(long) - 1)] == short).sum())
             good.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], ["u", "v", "part"]).filter(pa.array(good, pa.bool_()))
 
 
 def sub_keys():
@@ -135,7 +135,7 @@ def sketches(column) -> np.ndarray:
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = (sketches(b.column(2)) != sketches(b.column(3))).sum(axis=1) <= NEAR
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], ["u", "v", "part"]).filter(pa.array(good))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,12 +238,22 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return only_ids(docs.select("doc_id", "text"), ids).mapInArrow(_sets, "sid bigint, own binary")
 
 
+def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (u, v, part) with the values (id, value) of u and v as x and y.
+
+    A leader with very many members is met once for each of its parts, so no task
+    gets all of them.
+    """
+    heads = pairs.select("u", "part").distinct().join(values.select(F.col("id").alias("u"), F.col("value").alias("x")), "u")
+    return (pairs.join(values.select(F.col("id").alias("v"), F.col("value").alias("y")), "v")
+            .join(heads, ["u", "part"]).select("u", "v", "x", "y", "part"))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of doc_ids whose full sets are similar enough."""
+    """Those of the pairs (u, v, part) of doc_ids whose full sets are similar enough."""
     sets = cut(shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()))
-    return (pairs.join(sets.select(F.col("sid").alias("u"), F.col("own").alias("a")), "u")
-            .join(sets.select(F.col("sid").alias("v"), F.col("own").alias("b")), "v")
-            .select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint"))
+    both = with_both(pairs, sets.select(F.col("sid").alias("id"), F.col("own").alias("value")))
+    return both.mapInArrow(_confirm, "u bigint, v bigint, part bigint").select("u", "v")
 
 
 def by_blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -269,10 +279,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.filter("n > 1").select(F.col("rep").alias("id"), "sig").select("id", F.explode(sub_keys()).alias("key"))
     buckets = cut(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = cut(keys.join(buckets, "key"))
-    pairs = members.filter("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    near = cut(pairs.join(reps.select(F.col("id").alias("u"), F.col("sketch").alias("x")), "u")
-               .join(reps.select(F.col("id").alias("v"), F.col("sketch").alias("y")), "v")
-               .select("u", "v", "x", "y").mapInArrow(_near, "u bigint, v bigint"))
+    pairs = members.filter("id <> leader").groupBy(F.col("leader").alias("u"), F.col("id").alias("v")).agg(F.max("size").alias("size"))
+    parts = F.ceil(F.col("size") / SPLIT)
+    pairs = pairs.select("u", "v", (F.shiftleft(parts, 24) + F.pmod(F.xxhash64("v"), parts)).alias("part"))
+    near = cut(with_both(pairs, reps.select("id", F.col("sketch").alias("value"))).mapInArrow(_near, "u bigint, v bigint, part bigint"))
     links = cut(confirmed(docs, near))
     comp = cut(components(links))
     named = (members.filter("size > 2").join(comp, "id", "left")
@@ -295,6 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept")))
 
 
+@keeps_names
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with one document of each group."""
     kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
