@@ -9,9 +9,10 @@ class and id) are left out.  For every node the composite density is
 with characters C, tags T, characters LC and tags LT in links (1 where 0) and b
 for the body.  A node's density sum adds those of its children.  The node with
 the largest sum is the kernel; the smallest density on its path to the body is
-the threshold.  If the kernel lies in an article or main element, that element is
-the text; else the kernel and those nodes beside its path whose density reaches
-the threshold.
+the threshold.  If the kernel lies in an article or main element, it is widened to
+that element; else the text is the kernel and those nodes beside its path whose
+density reaches the threshold.  Marked parts (comments, sidebars, adverts) go
+whatever they hold, unless the page's title is in them.
 
 Blocks are runs of text between starts and ends of block elements.  Character
 references are decoded, white space in a block becomes one space, blocks are
@@ -19,15 +20,18 @@ joined by a line feed; nothing is capped.
 
 Defined results: null, empty and tagless html work (no tags: the text itself is
 one block); unclosed, stray and badly nested tags, missing body and unclosed
-quotes are repaired; any depth works, since nothing recurs; repeated rows stay;
-an empty table gives an empty result; further columns are ignored.
+quotes are repaired (but an unclosed script, style, title or textarea takes the rest
+of the page, as in browsers); any depth works, since nothing recurs and the time is
+linear in it; repeated rows stay; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -43,7 +47,10 @@ TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Element classes of HTML and the names that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Left out with all that is in them; of these, TEXTS hold no tags and go on to the
+#: page's end if unclosed, as in browsers.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object canvas audio video".split())
+TEXTS = frozenset("script style textarea title xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "caption", "tbody", "tfoot", "thead", "tr", "td", "th"}
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -55,12 +62,20 @@ consent gdpr notice notices notification alert sidebar sidenav menu nav navbar n
 share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay comment comments
 disqus replies respond widget toolbar pagination pager copyright disclaimer skip sr outbrain taboola""".split())
 JUNK_PARTS = re.compile(r"side[-_ ]?bar|comment|advert|breadcrumb|newsletter|cookie|sponsor|pagination|nav[-_]?bar|masthead|disclaimer|subscri", re.I)
+#: Names of parts that are never the article, whatever they hold; with a word like
+#: "has" before them they tell of a page's layout instead.
+PART_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sidebar sidenav cookie cookies consent
+gdpr breadcrumb breadcrumbs newsletter comment comments disqus replies respond outbrain taboola""".split())
+LAYOUT_WORDS = frozenset("has with without no not is page layout".split())
 CONTENT_WORDS = frozenset("article entry post content story page title main".split())
+ENDS = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 SAFE = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 #: How surely an element is boilerplate. LIKELY ones stay if they hold most of the
-#: page's text: whole pages in a form, or content that is "with-sidebar".
-LIKELY, SURELY = 1, 2
+#: page's text: whole pages in a form, or content that is "with-sidebar". PART ones
+#: stay only if they hold the page's title: then they wrap the page.
+LIKELY, PART, SURELY = 1, 2, 3
+TITLES = frozenset("h1 main".split())
 
 
 def is_junk(tag: str, attrs: str) -> int:
@@ -83,6 +98,10 @@ def is_junk(tag: str, attrs: str) -> int:
             if tag == "article":
                 named = bool(words & {"comment", "comments", "ad", "related"})
             found = max(found, LIKELY * named)
+            for name in value.split() if named else ():
+                own = [w.lower() for w in TOKENS.findall(name)]
+                if own and own[0] not in LAYOUT_WORDS and not PART_WORDS.isdisjoint(own):
+                    found = max(found, PART)
     return found
 
 
@@ -97,18 +116,36 @@ class Page:
 
     def _judge(self) -> None:
         """Boilerplate is inherited; what is only likely goes if it is the lesser part."""
-        size = [0] * len(self.tag)
+        size, titled = [0] * len(self.tag), [t in TITLES for t in self.tag]
         for node, _, text in self.texts:
             size[node] += len(text.strip())
         for k in range(len(self.tag) - 1, 0, -1):
             size[self.parent[k]] += size[k]
+            titled[self.parent[k]] |= titled[k]
         for k in range(1, len(self.tag)):
-            own = self.junk[k] == SURELY or self.junk[k] == LIKELY and 2 * size[k] <= size[0]
+            how = self.junk[k]
+            own = how == SURELY or how == PART and not titled[k] or how == LIKELY and 2 * size[k] <= size[0]
             self.junk[k] = bool(self.junk[self.parent[k]]) or own
 
     def _parse(self, html: str) -> None:
         stack, block, at, n = [0], 0, 0, len(html)
         tag, parent, junk, texts = self.tag, self.parent, self.junk, self.texts
+        held = Counter()  # open elements by name: no search for one that isn't there
+        inside, unclosed = [False], set()  # nodes in an article; raw names that close no more
+
+        def close(k: int) -> None:
+            held.subtract(tag[x] for x in stack[k:])
+            del stack[k:]
+
+        def close_nearest(names: Collection[str], fences: Collection[str]) -> None:
+            if any(held[x] for x in names):
+                for k in range(len(stack) - 1, 0, -1):
+                    if tag[stack[k]] in names:
+                        close(k)
+                        break
+                    if tag[stack[k]] in fences:
+                        break
+
         while at < n:
             lt = html.find("<", at)
             if lt < 0:
@@ -134,18 +171,18 @@ class Page:
             if m[1]:
                 if name in BLOCK:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if name in PEERS and tag[stack[k]] in FENCES:
-                        break
+                close_nearest((name,), FENCES if name in PEERS else ())
                 continue
             attrs = html[m.end():end - 1]
             if name in RAW:
-                if not attrs.endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, end)
-                    at = close.end() if close else n
+                if not attrs.endswith("/") and name not in unclosed:
+                    last = ENDS[name].search(html, end)
+                    if last is not None:
+                        at = last.end()
+                    elif name in TEXTS:
+                        at = n
+                    else:  # never closed: only the tag goes
+                        unclosed.add(name)
                 if name not in ("svg", "math"):
                     block += name not in ("script", "template")
                 continue
@@ -154,31 +191,22 @@ class Page:
             if name in BLOCK:
                 block += 1
                 if name in CLOSES_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tag[stack[k]] == "p":
-                            del stack[k:]
-                            break
-                        if tag[stack[k]] in BLOCK:
-                            break
+                    close_nearest(("p",), BLOCK)
                 if name in PEERS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tag[stack[k]] in PEERS[name]:
-                            del stack[k:]
-                            break
-                        if tag[stack[k]] in FENCES:
-                            break
-            if name in ("html", "body") and name in (tag[k] for k in stack):
+                    close_nearest(PEERS[name], FENCES)
+            if name in ("html", "body") and held[name]:
                 continue
             up = stack[-1]
             tag.append(name)
             parent.append(up)
-            bad = is_junk(name, attrs)
-            inside = any(tag[k] in ("article", "main") for k in stack)
+            bad, here = is_junk(name, attrs), inside[up]
+            inside.append(here or name in ("article", "main"))
             if name == "header":  # a page's header, not an article's
-                bad = bad if bad == SURELY or inside else LIKELY
+                bad = bad if bad == SURELY or here else max(bad, LIKELY)
             junk.append(bad)
             if name not in VOID and not attrs.endswith("/"):
                 stack.append(len(tag) - 1)
+                held[name] += 1
             elif name not in VOID and name in BLOCK:
                 block += 1
 
@@ -230,12 +258,13 @@ class Page:
         home = next((k for k in path if tag[k] in ("article", "main")), None)
         keep = [False] * n
         on_path = set(path)
+        between = on_path - {kernel, home}
         for k in range(n):
             if junk[k]:
                 continue
             if k == (kernel if home is None else home):
                 keep[k] = True
-            elif k and keep[parent[k]] and parent[k] not in on_path - {kernel, home}:
+            elif k and keep[parent[k]] and parent[k] not in between:
                 keep[k] = True
             elif home is None and k in on_path:
                 keep[k] = True  # own text of the path: not in any child

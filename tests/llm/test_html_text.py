@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -41,6 +42,27 @@ def test_depth_and_length():
     assert main_text(f"<article>{P * 5000}</article>") == "\n".join([PARAGRAPH] * 5000)
 
 
+def test_parts_go_whatever_they_hold():
+    long = P * 20
+    for name in ("class=comments", "id='article-comments'", "class='comment-list wide'", "class=sidebar", "class='top-ad'"):
+        assert main_text(f"<body><div class=text><h1>Title</h1>{P}{P}</div><div {name}>{long}</div></body>") == f"Title\n{PARAGRAPH}\n{PARAGRAPH}"
+    # Names that tell of the layout, and wrappers of the page's title, stay.
+    for name in ("class='has-comments'", "class='post with-sidebar'", "class='sidebar-right'"):
+        assert main_text(f"<body><div {name}><h1>Title</h1>{P}{P}</div></body>") == f"Title\n{PARAGRAPH}\n{PARAGRAPH}"
+
+
+def test_unclosed_embedded_parts_take_nothing_with_them():
+    for name in ("object", "video", "audio", "canvas", "svg", "noscript", "iframe"):
+        assert main_text(f"{P}<{name} a=b>{P}") == f"{PARAGRAPH}\n{PARAGRAPH}"
+    assert main_text(f"{P}<script>{P}") == PARAGRAPH
+
+
+def test_time_is_linear_in_depth():
+    t = time.perf_counter()
+    main_text("<div><b></i>" * 60_000 + "deep" + "<object>x" * 60_000)
+    assert time.perf_counter() - t < 20
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='", "'>", "</a>", "<b", ">", "text ", "&amp;", "<!--", "-->", "<script>", "</script>", "<li>", "</ul>", "<", '"']), max_size=25))
 def test_any_markup_is_survived(parts):
