@@ -1,7 +1,8 @@
 """Uniform shuffle into shards of exact sizes by a communication matrix.
 
-1. Rows fall into ``partitions`` logical partitions by a hash of doc_id, so the
-   outcome depends neither on files nor on the cluster.
+1. Rows fall into ``partitions`` logical partitions by a hash of doc_id and text, so
+   the outcome depends neither on files nor on the cluster, and rows without or of
+   one doc_id spread like others.
 2. The driver draws from the partitions' counts how many rows each partition
    sends to each cell: every partition's row of the matrix is a multivariate
    hypergeometric draw from the room that is left.  The matrix has partitions
@@ -10,15 +11,17 @@
    row of the matrix; rows are exchanged; each cell permutes again.
 
 A shard is ``cells`` cells whose sizes are fixed beforehand, so that a row's slot
-is its cell's offset plus its rank there, and no task sorts a whole shard.
+is its cell's offset plus its rank there, and no task sorts a whole shard.  Unless
+given, partitions and cells grow with the table: about ``TASK_ROWS`` rows each, as
+long as the matrix has at most ``MATRIX`` numbers (some 4 billion rows); beyond that
+the sorts grow, and spill.
 
 Law: ``rows``.  Shard sizes differ by one row at most.  Equal texts are single
 rows and spread like all others: a group of copies may hold a third of all rows,
 which no shard of equal rows could take.
 
 Defined results: a null text has size 16 and crc 0; equal rows get slots of their
-own; rows with the same doc_id share a partition and order by the text's crc;
-null doc_ids too; an empty table gives an empty result; input columns named like
+own; rows with the same doc_id and text share a partition; an empty table gives an empty result; input columns named like
 a result column are replaced, all others stay.
 """
 
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinlink.llm.scratch import others, tables
+from kinlink.llm.scratch import keeps_names, others, tables
 
 SHARDS = 40
-PARTITIONS = 1024
-CELLS = 8
+#: Fewest and most partitions, fewest cells of a shard; rows of each that are aimed at;
+#: the most numbers of the matrix, which the driver draws.
+PARTITIONS, MOST_PARTITIONS, CELLS, TASK_ROWS, MATRIX = 1024, 1 << 14, 8, 2_000_000, 1 << 22
 SEED = 20240501
 #: numpy draws hypergeometric numbers up to this population.
 NUMPY_LIMIT = 10**9 - 1
@@ -93,26 +97,44 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int = SEED)
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, partitions: int = PARTITIONS, cells: int = CELLS, seed: int = SEED) -> DataFrame:
+def layout(rows: int, shards: int) -> tuple[int, int]:
+    """Partitions (a power of two), and cells of a shard, for a table of so many rows."""
+    cells = max(CELLS, min(-(-rows // (shards * TASK_ROWS)), math.isqrt(MATRIX) // shards))
+    partitions = PARTITIONS
+    while partitions < MOST_PARTITIONS and partitions * TASK_ROWS < rows and 2 * partitions * cells * shards <= MATRIX:
+        partitions *= 2
+    return partitions, cells
+
+
+@keeps_names
+def shard(docs: DataFrame, shards: int = SHARDS, partitions: int | None = None, cells: int | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard."""
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(partitions)).cast("int")
-    found = {r["p"]: r["n"] for r in docs.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = [found.get(p, 0) for p in range(partitions)]
+    draw, fine = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), partitions or MOST_PARTITIONS
+    found = {r["p"]: r["n"] for r in docs.groupBy(F.pmod(draw, F.lit(fine)).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = layout(sum(found.values()), shards)
+    partitions, cells = partitions or some[0], cells or some[1]
+    part, counts = F.pmod(draw, F.lit(partitions)).cast("int"), [0] * partitions
+    for p, n in found.items():
+        counts[p % partitions] += n
     per_shard = [shard_sizes(n, cells) for n in shard_sizes(sum(counts), shards)]
     flat = [c for row in per_shard for c in row]
     offsets = [sum(row[:i]) for row in per_shard for i in range(cells)]
     bounds = communication_matrix(counts, flat, seed).cumsum(axis=1)
-    # partitions x (shards x cells) numbers: bounded by parameters, not by rows.
-    deal = F.broadcast(spark.createDataFrame([(p, bounds[p].tolist()) for p in range(partitions)], "__p int, __bounds array<bigint>"))
+    # partitions x (shards x cells) numbers: bounded by MATRIX, not by rows.
+    deal = spark.createDataFrame([(p, bounds[p].tolist(), bounds[p][cells - 1::cells].tolist()) for p in range(partitions)],
+                                 "__p int, __bounds array<bigint>, __ends array<bigint>")
     crc = F.coalesce(F.crc32(F.encode(F.col("text"), "UTF-8")), F.lit(0)).cast("bigint")
     rows = docs.select(
-        *others(docs, MADE - {"size"} | {"size"}),
+        *others(docs, MADE),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"), crc.alias("text_crc32"), part.alias("__p"))
-    once = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text_crc32")
-    dealt = (rows.withColumn("__rank", F.row_number().over(once)).join(deal, "__p")
-             .withColumn("__cell", F.expr("size(filter(__bounds, b -> b < __rank))")).drop("__bounds", "__p", "__rank"))
-    again = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "text_crc32")
+    once = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
+    # First the shard, then the cell in it: two short searches instead of one long one.
+    dealt = (rows.withColumn("__rank", F.row_number().over(once)).join(F.broadcast(deal), "__p")
+             .withColumn("__shard", F.expr("size(filter(__ends, b -> b < __rank))"))
+             .withColumn("__cell", F.expr(f"__shard * {cells} + size(filter(slice(__bounds, __shard * {cells} + 1, {cells}), b -> b < __rank))"))
+             .drop("__bounds", "__ends", "__p", "__rank", "__shard"))
+    again = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32"), "doc_id", "text_crc32")
     offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("__cell") + 1)
     return (dealt.withColumn("__at", F.row_number().over(again))
             .withColumns({"law": F.lit("rows"), "shard": F.expr(f"__cell div {cells}").cast("int"),

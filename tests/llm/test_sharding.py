@@ -52,3 +52,24 @@ def test_matrix_margins_and_large_populations():
     assert m.sum(axis=1).tolist() == big and m.sum(axis=0).tolist() == [2 * 10**9] * 4
     draws = [sharding.hypergeometric(rng, 10**9, 10**9, 10**6) for _ in range(400)]
     assert abs(np.mean(draws) - 5e5) < 4 * 500 / 20 and 350 < np.std(draws) < 650
+
+
+def test_layout_grows_with_the_table():
+    assert sharding.layout(0, 40) == (1024, 8) == sharding.layout(10**6, 40)
+    for rows in (10**8, 10**9, 4 * 10**9, 10**11):
+        p, c = sharding.layout(rows, 40)
+        assert p * c * 40 <= sharding.MATRIX and p >= 1024 and c >= 8
+        if rows <= 4 * 10**9:
+            assert rows <= 2 * p * sharding.TASK_ROWS and rows <= 2 * c * 40 * sharding.TASK_ROWS
+
+
+def test_rows_without_an_id_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("x").alias("__p"), F.lit(1).alias("__cell"))
+    got = sharding.shard(df, shards=4)
+    assert {"__p", "__cell"} <= set(got.columns)
+    rows = got.collect()
+    check(rows, 4)
+    runs = [r["text"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert runs != sorted(runs) and {r["__p"] for r in rows} == {"x"}
