@@ -7,8 +7,9 @@ intermediate product leaves a long.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -99,6 +100,21 @@ class Share:
         return F.array_repeat(self.col, n)
 
 
+def total(*shares: Share) -> Share:
+    """Sum of a vector of shares, modulo 2^bits."""
+    return reduce(lambda a, b: a + b, shares)
+
+
+def largest(*shares: Share) -> Share:
+    return Share(F.greatest(*[s.col for s in shares]), shares[0].bits) if len(shares) > 1 else shares[0]
+
+
+def unrolled(df: DataFrame, values: str, place: str) -> DataFrame:
+    """An array as one row for each of its values, with its place."""
+    keep = [F.col(c) for c in df.columns if c != values]
+    return df.select(*keep, F.posexplode(values).alias(place, values))
+
+
 def split_parts(values: Column, size: int) -> Column:
     """An array in parts of ``size`` values; the last may be shorter."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(size))

@@ -100,6 +100,17 @@ def fold(df: DataFrame, op: str, num: str, den: str, *targets: str, by: list[str
     return (df.groupBy(*by) if by else df).agg(won).select(*by, "__won.*")
 
 
+def select_quotient(op: str, first: tuple[Column, Column], second: tuple[Column, Column], exact: bool = False) -> Column:
+    """Struct (num, den) of the quotient that wins; ``first`` wins what is left equal."""
+    if op not in OPS:
+        raise ValueError(f"unknown fold {op!r}")
+    names = ("k0",) if exact else ("k0", "k1", "k2")
+    names += ("k3",) if op.endswith("_TIE") else ()
+    a, b = (F.struct(*[(float_key if exact else long_key)(n, d).getField(k) for k in names]) for n, d in (first, second))
+    x, y = (F.struct(n.alias("num"), d.alias("den")) for n, d in (first, second))
+    return F.when(a > b if op.startswith("MIN") else a < b, y).otherwise(x)
+
+
 def accumulate(df: DataFrame, value: str, op: str, by: list[str] = ()) -> DataFrame:
     """Sum or maximum of a column of numbers."""
     how = {"sum": F.sum, "max": F.max}[op]

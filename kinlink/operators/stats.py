@@ -66,3 +66,16 @@ def deviation_stats(devs: DataFrame, modes: list[str]) -> DataFrame:
     aggs = [f(f"dev_{m}").alias(f"{n}_{m}") for m in modes for n, f in (("lo", F.min), ("hi", F.max), ("avg", F.avg))]
     row = devs.agg(*aggs)
     return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"lo_{m}").alias("min_dev"), F.col(f"hi_{m}").alias("max_dev"), F.col(f"avg_{m}").alias("mean_dev")) for m in modes])).alias("r")).select("r.*")
+
+
+def describe(df: DataFrame, values: list[str], by: list[str] = ()) -> DataFrame:
+    """Rows (value, n, mean, stdev, least, q1, median, q3, most); quartiles are interpolated."""
+    out = None
+    for v in values:
+        c = F.col(v).cast("double")
+        part = (df.groupBy(*by) if by else df).agg(
+            F.count(c).alias("n"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("stdev"), F.min(c).alias("least"),
+            F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("q3"), F.max(c).alias("most"))
+        part = part.select(*by, F.lit(v).alias("value"), "n", "mean", "stdev", "least", "q1", "median", "q3", "most")
+        out = part if out is None else out.union(part)
+    return out

@@ -1,42 +1,25 @@
 """Queries of the engine over the driver's tables, each with its DuckDB twin.
 
-All of them run over whole tables.
+All of them run over whole tables.  ``wire`` adds those of sources, sinks and helpers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.functions import codec, compare, shares
 from kinlink.operators import fold, score, stats
-from kinlink.plans import fixtures, twin
+from kinlink.plans import fixtures, twin, wire  # noqa: F401
 from kinlink.plans.engine import LinkageEngine, score_table
 from kinlink.plans.fixtures import VIEWS, table
 from kinlink.plans.precision import Precision
+from kinlink.plans.register import QUERIES, SQL, Query, query
 from kinlink.sources.records import union_pages
-from kinlink.sources.synth import RandomInput, person_config
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 INT32 = "int32"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql is not None:
-            SQL[key] = sql
-        return f
-
-    return add
-
-
 def _sides(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataFrame]:
     v = VIEWS[view]
     return v.client(spark, sf_dir), v.server(spark, sf_dir)
@@ -365,14 +348,5 @@ def run_communication(spark, sf_dir):
     return t.select("user_id", *[F.round(c, 4).alias(c) for c in ("sent", "received", "comm")])
 
 
-@query(None)
-def synthetic_input(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").count()
-    config = person_config()
-    client, server = RandomInput(config, forced_empty=("ort",)).generate(spark, n, max(1, n // 10))
-    text = [F.base64(c).alias(c) for c in config.names]
-    return client.select(F.lit("client").alias("side"), F.col("record_idx").alias("idx"), *text).unionByName(server.select(F.lit("server").alias("side"), F.col("row_idx").alias("idx"), *text))
-
-
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["link_with_groups"](spark, "/root/testdata/sf0.001")

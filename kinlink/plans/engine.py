@@ -8,8 +8,8 @@ The plan keeps it cheap:
 
 * Both sides are prepared (popcounts, words) before they meet, and carry nothing
   else.
-* The smaller side is broadcast if its counted rows are at most
-  ``broadcast_rows``; beyond that both sides are dealt to blocks and each pair of
+* The smaller side is broadcast if its counted rows, times the fixed width of a
+  prepared row, are at most ``BROADCAST_BYTES`` (and ``broadcast_rows``); beyond that both sides are dealt to blocks and each pair of
   blocks is one task's join, so no side has to fit anywhere as a whole.
 * Narrow configurations (``kernel="sql"``): rows meet in whole-stage code up to the
   score, which goes into one long: quotient, denominator and place within a run of
@@ -34,7 +34,7 @@ from kinlink.operators.score import field_terms, pair_scores, passes, prepared,
 from kinlink.plans.config import LinkageConfig
 from kinlink.plans.precision import Precision
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Rows of a block where no side may be broadcast.
 BLOCK_ROWS = 100_000
 #: Words that a pair compares, up to which whole-stage code stays small.
@@ -69,6 +69,12 @@ class LinkageEngine:
         words = sum(n_words(self.config.fields[a]) for a, _ in term_pairs(self.config))
         return words > SQL_WORDS or PackedKey.of(self.precision, self.config) is None
 
+    @property
+    def most_broadcast(self) -> int:
+        """Rows that may be broadcast: prepared fields have fixed sizes."""
+        width = 16 + sum(8 * n_words(f) + f.nbytes + 24 for f in self.config.fields.values())
+        return min(self.broadcast_rows, BROADCAST_BYTES // width)
+
     @property
     def precision(self) -> Precision:
         p = Precision.of(self.mode, self.config, self.dice_precision, self.weight_precision)
@@ -82,7 +88,7 @@ class LinkageEngine:
         left = prepared(client, self.config, "l", ["record_idx"])
         right = prepared(server, self.config, "r", ["row_idx"])
         n, d = client.select("record_idx").count(), server.select("row_idx").count()
-        if min(n, d) <= self.broadcast_rows:
+        if min(n, d) <= self.most_broadcast:
             small, large = (left, right) if n <= d else (right, left)
             large = self._spread(large, max(n, d), "row_idx" if n <= d else "record_idx")
             return large.crossJoin(F.broadcast(small))
@@ -121,7 +127,7 @@ class LinkageEngine:
         check_columns(client, self.config, "record_idx")
         check_columns(server, self.config, "row_idx")
         n, d = client.select("record_idx").count(), server.select("row_idx").count()
-        if min(n, d) <= self.broadcast_rows:
+        if min(n, d) <= self.most_broadcast:
             return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, p, n <= d)
         return block_best(client, server, self.config, p, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)))
 
@@ -153,8 +159,9 @@ class LinkageEngine:
         """
         p = self.precision
         if self.uses_arrow:
-            best = self.link(client, server)
-            return best.agg(*[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).cast("bigint").alias(a) for c, a in (("match", "matches"), ("tentative_match", "tentative_matches"))])
+            best = self._best(self._candidates(client, server, p), p)
+            test = lambda t: F.coalesce(F.sum(passes(F.col("num"), F.col("den"), p, t).cast("bigint")), F.lit(0)).cast("bigint")
+            return best.agg(test(self.config.threshold).alias("matches"), test(self.config.tentative_threshold).alias("tentative_matches"))
 
         def any_passes(threshold: float) -> Column:
             return F.max(passes(F.col("num"), F.col("den"), p, threshold).cast("int"))

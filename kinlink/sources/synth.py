@@ -25,6 +25,7 @@ def person_config(threshold: float = 0.9, tentative: float = 0.7) -> LinkageConf
 
 def bench_config(n: int, kind: str = "combined", threshold: float = 0.9, tentative: float = 0.7) -> LinkageConfig:
     """n fields of 12-bit integers, of 500-bit masks, or n of each."""
+    # Bits, frequency and error rate of the fields.
     fields = []
     if kind in ("integer", "combined"):
         fields += [FieldSpec(f"int_{i}", 0.01, 0.04, "binary", "integer", 12) for i in range(n)]
@@ -46,19 +47,28 @@ class RandomInput:
     density: int = 0
     forced_empty: tuple[str, ...] = ()
 
-    def _hash(self, what: str, *key: Column) -> Column:
-        return F.xxhash64(F.lit(self.seed), F.lit(what), *key)
+    def _text(self, what: str, *key: Column) -> Column:
+        """32 hexadecimal digits from seed, name and key, which any engine can compute."""
+        return F.md5(F.concat_ws("|", F.lit(str(self.seed)), F.lit(what), *[k.cast("string") for k in key]))
+
+    def _whole(self, what: str, *key: Column) -> Column:
+        """A number below 2^60."""
+        return F.conv(F.substring(self._text(what, *key), 1, 15), 16, 10).cast("bigint")
 
     def _uniform(self, what: str, *key: Column) -> Column:
-        return F.pmod(self._hash(what, *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return F.pmod(self._whole(what, *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def _mask(self, spec: FieldSpec, what: str, idx: Column) -> Column:
         """Random bytes; each step of density ORs (or ANDs) another random byte."""
+        if not self.density:
+            whole = F.concat(*[self._text(f"{what}.{spec.name}.{k}", idx) for k in range(-(-spec.nbytes // 16))])
+            return mask_bits(F.unhex(F.substring(whole, 1, 2 * spec.nbytes)), spec.bitsize)
+        word = lambda name: F.conv(F.substring(self._text(name, idx), 1, 16), 16, -10).cast("bigint")
         words = []
         for w in range(-(-spec.nbytes // 8)):
-            x = self._hash(f"{what}.{spec.name}.{w}", idx)
+            x = word(f"{what}.{spec.name}.{w}")
             for k in range(abs(self.density)):
-                y = self._hash(f"{what}.{spec.name}.{w}+{k}", idx)
+                y = word(f"{what}.{spec.name}.{w}+{k}")
                 x = x.bitwiseOR(y) if self.density > 0 else x.bitwiseAND(y)
             words.append(F.unhex(F.lpad(F.hex(x), 16, "0")))
         return mask_bits(F.substring(F.concat(*words), 1, spec.nbytes), spec.bitsize)
@@ -66,7 +76,7 @@ class RandomInput:
     def _value(self, spec: FieldSpec, what: str, idx: Column) -> Column:
         if spec.comparator == "dice" or spec.ftype == "bitmask":
             return self._mask(spec, what, idx)
-        whole = F.pmod(self._hash(f"{what}.{spec.name}", idx), F.lit(1 << min(spec.bitsize, 32)))
+        whole = F.pmod(self._whole(f"{what}.{spec.name}", idx), F.lit(1 << min(spec.bitsize, 32)))
         return int_bytes(whole, min(spec.nbytes, 8)) if spec.nbytes <= 8 else self._mask(spec, what, idx)
 
     def generate(self, spark: SparkSession, rows: int, records: int) -> tuple[DataFrame, DataFrame]:

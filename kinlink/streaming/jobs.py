@@ -8,6 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import Enum
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,16 @@ class LinkageService:
 
     Jobs of one remote run one after the other, those of different remotes side
     by side, each in its remote's scheduler pool.  The registry's lock isn't held
-    while a job runs.
+    while a job runs.  ``role`` is the side this service speaks for; as a server its
+    documents carry the database's ids.  Of the jobs that are over the last ``keep``
+    stay; an older one is forgotten with its result.
     """
 
-    def __init__(self, spark: SparkSession, config: LinkageConfig, database: Callable[[], DataFrame], mode: str = "int32"):
-        self.spark, self.config, self.mode = spark, config, mode
-        self._load, self._lock = database, threading.Lock()
+    def __init__(self, spark: SparkSession, config: LinkageConfig, database: Callable[[], DataFrame], mode: str = "int32", role: str = "client", keep: int = 1000):
+        self.spark, self.config, self.mode, self.role, self.keep = spark, config, mode, role, keep
+        self._load, self._lock, self._loading = database, threading.Lock(), threading.Lock()
         self._snapshot: DataFrame | None = None
+        self._uses: dict[int, int] = {}  # snapshots by id: jobs that still read them
         self._jobs: dict[str, Job] = {}
         self._workers: dict[str, ThreadPoolExecutor] = {}
         self._remotes: dict[str, RemoteParty] = {}
@@ -64,14 +68,55 @@ class LinkageService:
         n = fresh.count()
         with self._lock:
             old, self._snapshot = self._snapshot, fresh
-        if old is not None:
+            unused = old is not None and not self._uses.get(id(old))
+        if unused:
             old.unpersist()
         return n
 
     def database(self) -> DataFrame:
-        if self._snapshot is None:
-            self.poll_database()
-        return self._snapshot
+        with self._loading:  # one load, however many jobs ask first
+            if self._snapshot is None:
+                self.poll_database()
+        with self._lock:
+            return self._snapshot
+
+    def _begin(self) -> DataFrame:
+        self.database()
+        with self._lock:
+            data = self._snapshot
+            self._uses[id(data)] = self._uses.get(id(data), 0) + 1
+        return data
+
+    def _end(self, data: DataFrame) -> None:
+        with self._lock:
+            self._uses[id(data)] -= 1
+            unused = not self._uses[id(data)] and data is not self._snapshot
+            if not self._uses[id(data)]:
+                del self._uses[id(data)]
+        if unused:
+            data.unpersist()
+
+    def _forget(self) -> None:
+        """Drop the oldest jobs that are over, beyond ``keep``."""
+        with self._lock:
+            over = [j for j in self._jobs.values() if j.status in (Status.DONE, Status.FAULT)]
+            gone = over[:max(0, len(over) - self.keep)]
+            for j in gone:
+                del self._jobs[j.job_id]
+        for j in gone:
+            if j.result is not None:
+                j.result.unpersist()
+
+    def ping(self, remote_id: str, timeout: float = 15.0) -> bool:
+        """Whether the remote's linkage service answers."""
+        service = self._remotes[remote_id].linkage_service
+        if service is None:
+            return False
+        try:
+            with urlopen(f"{service.rstrip('/')}/test", timeout=timeout) as answer:  # noqa: S310
+                return answer.status == 200
+        except OSError:
+            return False
 
     def test_config(self, other: LinkageConfig) -> bool:
         return self.config.compatible(other)
@@ -95,19 +140,23 @@ class LinkageService:
 
     def _run(self, job: Job, records: DataFrame, callback) -> None:
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.remote_id)
-        job.status = Status.RUNNING
+        job.status, data = Status.RUNNING, None
         try:
-            engine = LinkageEngine(self.config, self.mode)
-            out = (engine.link if job.kind == "link" else engine.count)(records, self.database())
+            engine, data = LinkageEngine(self.config, self.mode), self._begin()
+            out = (engine.link if job.kind == "link" else engine.count)(records, data)
             # Results are small (a row per record): keep them from running again.
             job.result = out.cache()
             job.result.count()
             if callback is not None:
-                doc = linkage_document(job.result, "client") if job.kind == "link" else count_document(job.result)
+                doc = linkage_document(job.result, self.role, data) if job.kind == "link" else count_document(job.result)
                 callback(doc.first()["document"])
             job.status = Status.DONE
         except Exception as e:  # noqa: BLE001
             job.error, job.status = f"{type(e).__name__}: {e}", Status.FAULT
+        finally:
+            if data is not None:
+                self._end(data)
+            self._forget()
 
     def job_status(self, job_id: str) -> str:
         return self._jobs[job_id].status.value
