@@ -179,7 +179,8 @@ class Model:
         """From rows (language, kind, word or n-gram, count)."""
         rows = list(rows)
         entry = [Words([r[2]]).hash[0] if r[1] == 0 else self._gram(r[2]) for r in rows]
-        self._fill([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int32), np.array(entry, dtype=np.uint64), np.array([r[3] for r in rows], dtype=np.int64))
+        langs = sorted({r[0] for r in rows})
+        self._fill(langs, np.array([langs.index(r[0]) for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32), np.array(entry, dtype=np.uint64), np.array([r[3] for r in rows], dtype=np.int64))
 
     @staticmethod
     def _gram(text: str) -> np.uint64:
@@ -190,16 +191,14 @@ class Model:
     def of(cls, table: pa.Table) -> Model:
         """From columns lang, kind, entry, n, as ``count_texts`` makes them."""
         out = cls.__new__(cls)
-        lang = table["lang"].combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
-        names = np.array(lang.dictionary.to_pylist(), dtype=object)
-        out._fill(names[lang.indices.to_numpy(zero_copy_only=False)].tolist(), table["kind"].to_numpy(), table["entry"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        lang = table["lang"].cast(pa.string()).combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+        names = lang.dictionary.to_pylist()
+        place = np.argsort(np.argsort(np.array(names, dtype=object))) if names else np.zeros(0, dtype=np.int64)
+        out._fill(sorted(names), place[lang.indices.to_numpy(zero_copy_only=False)], table["kind"].to_numpy(), table["entry"].to_numpy().view(np.uint64), table["n"].to_numpy())
         return out
 
-    def _fill(self, lang: list[str], kind: np.ndarray, entry: np.ndarray, n: np.ndarray) -> None:
-        self.langs = sorted(set(lang))
-        number = {x: i for i, x in enumerate(self.langs)}
-        column = np.fromiter((number[x] for x in lang), dtype=np.int64, count=len(lang))
-        self.keys, self.logs = {}, {}
+    def _fill(self, langs: list[str], column: np.ndarray, kind: np.ndarray, entry: np.ndarray, n: np.ndarray) -> None:
+        self.langs, self.keys, self.logs = langs, {}, {}
         for k in KINDS:
             mine = np.flatnonzero(kind == k)
             self.keys[k], row = np.unique(entry[mine], return_inverse=True)
