@@ -42,3 +42,40 @@ def test_quotas_are_sainte_lague_and_add_up(spark):
 
 def test_empty(none):
     assert mixing.mix(none).count() == 0
+
+
+def test_shards_choose_their_own_blocks(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    got = mixing.mix(docs)
+    text = F.array_join(F.col("shard_taken").cast("array<string>"), ",").alias("shard_taken")
+    assert_same(got.select("doc_id", "size", "source_size", "target", "taken", text), mixing.mix_sql(by_shard=True), sf_dir)
+    rows = got.select("source", "size", "taken", "shard_taken").collect()
+    assert all(len(r["shard_taken"]) == mixing.SHARDS and min(r["shard_taken"]) >= 0 and sum(r["shard_taken"]) == r["taken"] for r in rows)
+    # Every shard takes its quota's words of a source.
+    t = mixing.source_targets(mixing._line(docs, mixing.SEED, mixing.n_words(F.col("text")), mixing.text_key(F.col("text"))).groupBy("__skey", "__sub").agg(F.sum("__size").alias("__part")))
+    want = {(r["__skey"], r["shard"]): r["quota"] * mixing.BLOCK for r in mixing.shard_quotas(t).collect()}
+    have = {}
+    for r in rows:
+        for k, n in enumerate(r["shard_taken"]):
+            key = ("n" if r["source"] is None else "v" + r["source"], k)
+            have[key] = have.get(key, 0) + n
+    assert all(want[x] - mixing.BLOCK < have[x] <= want[x] for x in want) and len(want) > 8
+
+
+def test_tiny_sources_reach_their_targets(spark):
+    rows = [(1, "w " * 10, "a"), (2, "w " * 20, "b"), *[(k, "w " * 50, "c") for k in range(3, 90)]]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).groupBy("source").agg({"target": "first", "taken": "sum"}).collect()
+    got = {r["source"]: (r["first(target)"], r["sum(taken)"]) for r in got}
+    assert got["a"] == (30.0, 30) and got["b"] == (60.0, 60) and abs(got["c"][0] - got["c"][1]) <= 64
+
+
+def test_rows_without_an_id_and_odd_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.lit("s").alias("source"), F.lit(7).alias("__size"), F.lit(8).alias("__b"))
+    got = mixing.mix(df)
+    assert got.columns[:5] == ["doc_id", "text", "source", "__size", "__b"]
+    rows = got.collect()
+    assert {(r["__size"], r["__b"]) for r in rows} == {(7, 8)} and sum(r["taken"] for r in rows) == 300 * 3 // 32 * 32
