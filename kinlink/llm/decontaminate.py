@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.scratch import tables
+from kinlink.llm.scratch import keeps_names, tables
 from kinlink.llm.words import LOWER, SPACES, blocks
 
 LEAST_WORDS, RATIO = 3, 0.1
@@ -222,6 +222,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spark.createDataFrame([], schema) if out is None else out
 
 
+@keeps_names
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with a column text) that hold no item."""
     place = docs.columns.index("text")

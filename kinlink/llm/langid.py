@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.scratch import tables
+from kinlink.llm.scratch import keeps_names, quoted, tables
 from kinlink.llm.words import mix
 
 GRAMS = (4, 3, 2, 1)
@@ -268,6 +268,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model.of(counted.toArrow())
 
 
+@keeps_names
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` (text, ...) with the prediction and its score as last columns.
 
@@ -277,7 +278,6 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     made = {n.lower() for n in names}
     where = [i for i, c in enumerate(docs.columns) if c.lower() not in made]
     kept = [docs.columns[i] for i in where]
-    quoted = lambda c: f"`{c.replace('`', '``')}`"
     schema = ", ".join(f"{quoted(c)} {t}" for c, t in (docs.dtypes[i] for i in where)) + f"{', ' if where else ''}{names[0]} string, {names[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

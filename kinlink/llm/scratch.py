@@ -50,16 +50,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For operators over ``docs``, whose own columns begin with two underscores:
-    columns of the input that do so too get other names meanwhile."""
+    columns of the input that do so too get other names meanwhile, and so do those
+    with signs that Spark's functions over batches don't take."""
 
     @functools.wraps(operator)
     def run(docs: DataFrame, *args, **more) -> DataFrame:
         taken, back = {c.lower() for c in docs.columns}, {}
-        for c in docs.columns:
-            if c.startswith("__"):
-                other = "in" + c
+        for k, c in enumerate(docs.columns):
+            if c.startswith("__") or not c.isidentifier():
+                other = f"in{k}_"
                 while other.lower() in taken:
-                    other = "in" + other
+                    other += "_"
                 taken.add(other.lower())
                 back[other] = c
         if not back:
@@ -73,7 +74,11 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def others(df: DataFrame, made: set[str]) -> list[str]:
     """Quoted names of the columns of ``df`` that no made column replaces."""
     low = {m.lower() for m in made}
-    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in low]
+    return [quoted(c) for c in df.columns if c.lower() not in low]

@@ -43,3 +43,16 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, odd, none, sf_dir):
         assert out.count() >= 0
         assert stage(spark, none, sf_dir).count() == 0
     assert len(p.STAGES) == 5
+
+
+def test_odd_names_keep_their_values(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = {"__text": F.lit("a"), "__n": F.lit(1), "__s": F.lit("b"), "__score": F.lit(2), "__row": F.lit("c"), "a`b": F.lit(3), "taken": F.lit("d"), "__skey": F.lit(4)}
+    docs = docs.withColumns(more)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        row = out.first()
+        assert [row[c] for c in more] == ["a", 1, "b", 2, "c", 3, "d", 4], name
