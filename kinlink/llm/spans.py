@@ -174,19 +174,34 @@ def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
                      "n_spans": pa.array(cols[3], pa.int64()), "kept_sha256": pa.array(cols[4], pa.string())})
 
 
-def remove_repeats(docs: DataFrame, emit: Callable, settle: Callable, growth: float, bucket_bytes: int) -> DataFrame:
+def heavy_slots(rows: DataFrame, weigh: Callable, slots: int, limit: float) -> np.ndarray:
+    """Which slots weigh more than ``limit``; only these come to the driver."""
+    weights = rows.mapInArrow(lambda b: weigh(b, slots), "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    out = np.zeros(slots, dtype=bool)
+    out[[r["slot"] for r in weights.filter(F.col("bytes") > limit).collect()]] = True
+    return out
+
+
+def remove_repeats(docs: DataFrame, emit: Callable, settle: Callable, growth: float, bucket_bytes: int, weigh: Callable | None = None) -> DataFrame:
     """Rows OUT for every row of ``docs`` (doc_id, text).
 
     ``emit(batches, buckets)`` yields (bucket, blob) batches, ``settle(table,
     homes)`` turns a bucket's blobs into ``lost_rows``.  ``growth``: bytes in
-    buckets for each byte of text; a bucket holds about ``bucket_bytes``.
+    buckets for each byte of text; a bucket holds about ``bucket_bytes``.  With
+    ``weigh(batches, slots)``, which yields (slot, bytes), emit also gets the slots
+    that outweigh half a bucket and four times the mean; a quarter of them at most.
     """
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("b")).first()["b"] or 0
     buckets, homes = max(1, round(total * growth / bucket_bytes)), prime(total // HOME + 1)
     tag = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
     home = F.coalesce(F.pmod(F.col("doc_id").cast("bigint"), F.lit(homes)), F.pmod(F.xxhash64("text"), F.lit(homes)))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tag.alias("tag"), home.cast("bigint").alias("home"), "text")
-    sent = rows.select("doc_id", "tag", "text").mapInArrow(lambda b: emit(b, buckets), "bucket bigint, blob binary")
+    known = rows.select("doc_id", "tag", "text")
+    more = ()
+    if weigh is not None:
+        slots = 1 << min(24, max(16, (8 * buckets).bit_length()))
+        more = (heavy_slots(known, weigh, slots, max(bucket_bytes / 2, 4 * growth * total / slots)),)
+    sent = known.mapInArrow(lambda b: emit(b, buckets, *more), "bucket bigint, blob binary")
     lost = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, homes), "home bigint, blob binary")
     texts = rows.mapInArrow(_pack_texts, "home bigint, texts binary")
     return texts.groupBy("home").cogroup(lost.groupBy("home")).applyInArrow(_finish, OUT)

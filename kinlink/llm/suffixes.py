@@ -3,7 +3,9 @@
 Two 50-byte strings are equal only if they have the same smallest 8-byte gram
 (by hash, first place on ties), so every 50-byte suffix start of a text belongs
 to one anchor.  Runs of starts with one anchor travel together as a context (the
-bytes they cover) to the anchor's bucket; no position travels alone.
+bytes they cover) to the anchor's bucket; no position travels alone.  A first pass
+weighs the anchors: grams of which the contexts would fill a bucket or more are then
+taken only where a string has no other gram, so that no bucket outgrows a task.
 
 A bucket first joins whole equal contexts; then 64-bit fingerprints leave out
 starts whose string surely occurs once.  The rest is sorted into suffix arrays
@@ -16,8 +18,8 @@ bytes: no match is taken from a hash alone.
 Skew: a chunk of texts settles equal contexts itself first (see ``spans``).
 
 Defined results: a null text counts as empty; texts under 50 bytes keep all;
-repeats within one document stay, as do repeats among rows of one doc_id; rows
-with a null doc_id keep all and remove nothing elsewhere; an empty table gives
+repeats within one document stay, as do repeats among rows of one doc_id (which are
+told apart by 16 bits of their texts' hashes); rows with a null doc_id keep all and remove nothing elsewhere; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -34,7 +36,8 @@ from kinlink.llm.spans import Chunk, chunks, doc_table, lost_rows, pack, remove_
 
 LENGTH, GRAM = 50, 8
 SPAN = LENGTH - GRAM + 1
-BATCH = 1 << 15
+#: Bytes of contexts that a bucket is meant to hold, and starts of a batch.
+BUCKET, BATCH = 12 << 20, 1 << 15
 #: Long texts are read in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 20
 SLICE = 1 << 18
@@ -51,10 +54,15 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of LENGTH bytes: place of its anchor; and the grams' hashes."""
+def anchors(data: np.ndarray, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of LENGTH bytes: place of its anchor; and the grams' hashes.
+
+    ``heavy`` tells by the hash, modulo its size (a power of two), which grams come last.
+    """
     gram = words8(data) * np.uint64(0x9E3779B97F4A7C15)
-    gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    gram = ((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)
+    if heavy is not None:
+        gram |= heavy[(gram >> _PLACE) & np.uint64(len(heavy) - 1)].astype(np.uint64) << np.uint64(63)
     low = ((gram >> _PLACE) << _PLACE) | np.arange(len(gram), dtype=np.uint64)
     for s in (1, 2, 4, 8, 16):
         low = np.minimum(low[:-s], low[s:])
@@ -79,14 +87,14 @@ def _pieces(c: Chunk) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-def contexts(c: Chunk) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def contexts(c: Chunk, heavy: np.ndarray | None = None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per group: its bytes; document, place in it, from, to, anchor hash of contexts."""
     for group in _pieces(c):
         raw = b"".join(p for _, _, p in group)
         data = np.frombuffer(raw, dtype=np.uint8)
         sizes = np.array([len(p) for _, _, p in group])
         begin = np.cumsum(sizes) - sizes
-        anchor, grams = anchors(data)
+        anchor, grams = anchors(data, heavy)
         ok = np.ones(len(anchor), dtype=bool)
         for e in (begin + sizes)[:-1].tolist():
             ok[e - LENGTH + 1:e] = False
@@ -100,13 +108,23 @@ def contexts(c: Chunk) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarr
         yield raw, doc[part], qs - begin[part] + place[part], qs, qe + LENGTH, grams[anchor[qs]]
 
 
-def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _weigh(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of contexts by slot of their anchors' hashes."""
+    total = np.zeros(slots, dtype=np.int64)
+    for c in chunks(batches):
+        for _, _, _, lo, hi, gram in contexts(c):
+            total += np.bincount((gram & np.uint64(slots - 1)).astype(np.int64), weights=hi - lo, minlength=slots).astype(np.int64)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "bytes"])
+
+
+def _emit(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches):
         seen: dict[bytes, int] = {}
         found, docs, starts, grams = [], [], [], []
         lost_doc, lost_start, lost_size, lost_gram = [], [], [], []
         ids = c.ids.tolist()
-        for raw, doc, start, lo, hi, gram in contexts(c):
+        for raw, doc, start, lo, hi, gram in contexts(c, heavy):
             for d, s, a, b, g in zip(doc.tolist(), start.tolist(), lo.tolist(), hi.tolist(), gram.tolist()):
                 text = raw[a:b]
                 owner = seen.setdefault(text, d)
@@ -265,7 +283,7 @@ def _settle(rows: pa.Table, homes: int) -> pa.Table:
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of ``docs`` (doc_id, text)."""
-    return remove_repeats(docs, _emit, _settle, 2.9, 12 << 20)
+    return remove_repeats(docs, _emit, _settle, 2.9, BUCKET, _weigh)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,30 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert cover == [1] * 1451 + [0] * 49
 
 
+def test_frequent_anchors_are_passed_over(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffixes, "BUCKET", 3000)
+    rng = random.Random(11)
+    # A gram in the middle of ever new text, whose hash would win most windows.
+    grams = [bytes(rng.randrange(97, 123) for _ in range(8)) for _ in range(3000)]
+    low = np.array([suffixes.anchors(np.frombuffer(g + b"x" * 42, dtype=np.uint8))[1][0] for g in grams])
+    often = grams[int(low.argmin())]
+    docs = []
+    for i in range(150):
+        word = lambda: bytes(rng.randrange(97, 123) for _ in range(22))
+        t = b"".join(word() + often for _ in range(12))
+        docs.append((i, t + (docs[i - 1][1][:120] if i % 5 == 4 else b"")))
+    df = spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id bigint, text string")
+    assert table(suffixes.dedup_suffixes(df)) == sorted(by_suffixes(docs))
+    chunk = Chunk([(i, 0, t) for i, t in docs])
+    weigh = lambda heavy: np.bincount(np.concatenate([g % np.uint64(1 << 16) for *_, g in suffixes.contexts(chunk, heavy)]).astype(np.int64), minlength=1 << 16)
+    before = weigh(None)
+    heavy = before > 50
+    after = weigh(heavy)
+    assert before.max() > 1000 and after.max() < before.max() / 20
+
+
 def test_log_index_levels_double():
     import numpy as np
 
