@@ -81,10 +81,10 @@ def trim(s: Column, side: str = "both") -> Column:
 
 def bits_to_mask(bits: Column, n: int) -> Column:
     """An array of booleans as bytes, the first in the lowest bit of the first byte."""
-    def one(k: Column) -> Column:
-        return F.lpad(F.hex(F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda acc, j: acc + F.when(F.coalesce(F.get(bits, k * 8 + j), F.lit(False)), F.pow(F.lit(2), j).cast("int")).otherwise(0))), 2, "0")
-
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bitbytes(n) - 1)), one), ""))
+    size = bitbytes(n)
+    signs = F.array_join(F.transform(bits, lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0"))), "")
+    text = F.rpad(signs, 8 * size, "0")
+    return F.unhex(F.concat(*[F.lpad(F.conv(F.reverse(F.substring(text, 8 * k + 1, 8)), 2, 16), 2, "0") for k in range(size)]))
 
 
 def repeat_bit(bit: Column, n: int) -> Column:

@@ -2,9 +2,10 @@
 
 One whole-stage method for a pair of, say, eight fields with 500-bit masks and a
 group of three passes the JVM's limits for compiled code and then runs
-interpreted.  Here one record of the small side meets a batch of the large side
-at a time: each step is one vector operation, pairs never become rows, and only
-the best per record leaves a partition.  Numbers are the same as in
+interpreted.  Here a few records of one side meet a batch of the other at a time
+(about ``PAIRS`` pairs, which stay in a core's cache): each step is one vector
+operation, pairs never become rows, and only the best per record leaves a partition.
+Several precisions share the comparisons of a pair.  Numbers are the same as in
 ``operators.score``, and so are the orders of quotients.
 """
 
@@ -23,7 +24,7 @@ from kinlink.operators.fold import PackedKey
 from kinlink.plans.config import LinkageConfig
 from kinlink.plans.precision import Precision
 
-OUT = "record_idx bigint, row_idx bigint, num {0}, den {0}"
+PAIRS = 1 << 15
 
 
 def narrow(df: DataFrame, config: LinkageConfig, key: str) -> DataFrame:
@@ -52,32 +53,20 @@ class Side:
 
 
 class Kernel:
+    """Scores blocks of pairs under one precision; arrays are left by right."""
+
     def __init__(self, config: LinkageConfig, p: Precision):
         self.config, self.p, self.layout = config, p, PackedKey.of(p, config)
         self.kind = np.float64 if p.exact else np.int64
 
-    def _compare(self, name: str, one: Side, i: int, a: str, many: Side, b: str) -> np.ndarray:
+    def _compare(self, raw: tuple[np.ndarray, ...] | np.ndarray) -> np.ndarray:
+        """From what two fields have in common, see ``Pairs``."""
         p = self.p
-        if self.config.fields[name].comparator == "dice":
-            both = np.zeros(len(many.key), dtype=np.int64)
-            for x, y in zip(one.words[a], many.words[b]):
-                both += np.bitwise_count(y & x[i])
-            total = np.maximum(many.extra[b] + one.extra[a][i], 1)
+        if isinstance(raw, tuple):
+            both, total = raw
             # Quotients of numbers this small are exact to the unit as doubles.
             return 2 * both / total if p.exact else (((both << p.dice + 1) + (total >> 1)) / total).astype(np.int64) if p.dice <= 24 else ((both << p.dice + 1) + (total >> 1)) // total
-        same = many.extra[b] == one.extra[a][i]
-        for x, y in zip(one.words[a], many.words[b]):
-            same &= y == x[i]
-        return same.astype(self.kind) if p.exact else same.astype(np.int64) << p.dice
-
-    def _term(self, left: str, right: str, one: Side, i: int, many: Side, one_is_left: bool):
-        a, b = (left, right) if one_is_left else (right, left)
-        here, w = many.here[b], self.p.pair_weight(self.config, left, right)
-        if not one.here[a][i]:
-            zero = np.zeros(len(many.key), dtype=self.kind)
-            return zero, zero
-        weight = here * self.kind(w)
-        return self._compare(left, one, i, a, many, b) * weight, weight
+        return raw.astype(self.kind) if p.exact else raw.astype(np.int64) << p.dice
 
     def keys(self, num: np.ndarray, den: np.ndarray) -> tuple[np.ndarray, ...]:
         """Arrays that order quotients when compared one after the other."""
@@ -98,17 +87,24 @@ class Kernel:
             out = (x > y) | (x == y) & out
         return out
 
-    def pair(self, one: Side, i: int, many: Side, one_is_left: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Numerators and denominators of one record against all of ``many``."""
-        num, den = np.zeros(len(many.key), dtype=self.kind), np.zeros(len(many.key), dtype=self.kind)
+    def scores(self, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+        """Numerators and denominators of all pairs."""
+        terms = {}
+
+        def term(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+            if (a, b) not in terms:
+                weight = pairs.here(a, b) * self.kind(self.p.pair_weight(self.config, a, b))
+                terms[a, b] = self._compare(pairs.common(a, b)) * weight, weight
+            return terms[a, b]
+
+        num = den = np.zeros(pairs.shape, dtype=self.kind)
         for n in self.config.single_fields:
-            f, w = self._term(n, n, one, i, many, one_is_left)
+            f, w = term(n, n)
             num, den = num + f, den + w
         for g in self.config.groups:
-            terms = {(a, b): self._term(a, b, one, i, many, one_is_left) for a in g for b in g}
             best = None
             for perm in permutations(g):
-                f, w = sum(terms[x][0] for x in zip(g, perm)), sum(terms[x][1] for x in zip(g, perm))
+                f, w = (sum(term(*x)[k] for x in zip(g, perm)) for k in (0, 1))
                 k = self.keys(f, w)
                 if best is None:
                     best = f, w, k
@@ -118,76 +114,145 @@ class Kernel:
             num, den = num + best[0], den + best[1]
         return num, den
 
-    def best_rows(self, client: Side, batches: Iterator[Side]) -> Iterator[tuple]:
-        """Client records against a stream of server rows: one best row for each record."""
-        best: list[tuple | None] = [None] * len(client.key)
-        for rows in batches:
-            if not len(rows.key):
-                continue
-            for i in range(len(client.key)):
-                num, den = self.pair(client, i, rows, True)
-                keys = self.keys(num, den)
-                top = np.arange(len(num))
-                for k in keys:
-                    k = k[top]
-                    top = top[k == k.max()]
-                j = top[np.argmin(rows.key[top])]
-                mine = (*(k[j].item() for k in keys), -rows.key[j].item())
-                if best[i] is None or mine > best[i][0]:
-                    best[i] = mine, rows.key[j].item(), num[j].item(), den[j].item()
-        for key, b in zip(client.key.tolist(), best):
-            if b is not None:
-                yield key, *b[1:]
-
-    def best_of_records(self, client: Side, server: Side) -> tuple[np.ndarray, ...]:
-        """A batch of client records against few server rows."""
-        n = len(client.key)
-        row, num, den, top = np.full(n, -1), np.zeros(n, dtype=self.kind), np.zeros(n, dtype=self.kind), None
-        for i in np.argsort(server.key, kind="stable"):  # the first row keeps a tie
-            f, w = self.pair(server, i, client, False)
-            k = self.keys(f, w)
-            up = self.above(k, top) if top is not None else np.ones(n, dtype=bool)
-            row, num, den = np.where(up, server.key[i], row), np.where(up, f, num), np.where(up, w, den)
-            top = k if top is None else tuple(np.where(up, x, y) for x, y in zip(k, top))
-        return client.key, row, num, den
-
-
-def _batch(rows, kind) -> pa.RecordBatch:
-    number = pa.float64() if kind is np.float64 else pa.int64()
-    cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), number, number))]
-    return pa.RecordBatch.from_arrays(cols, ["record_idx", "row_idx", "num", "den"])
-
-
-def local_best(client: DataFrame, server: DataFrame, config: LinkageConfig, p: Precision, client_is_small: bool) -> DataFrame:
+    def best(self, pairs: Pairs, rows: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Per left record the place of its best right row (``rows``: their numbers), and
+        the best's keys, negative number, numerator and denominator."""
+        num, den = self.scores(pairs)
+        keys = self.keys(num, den)
+        here = np.ones(pairs.shape, dtype=bool)
+        for k in keys:
+            here &= k == np.where(here, k, k.min()).max(axis=1, keepdims=True)
+        at = np.where(here, rows[None, :], np.iinfo(np.int64).max).argmin(axis=1)
+        pick = np.arange(pairs.shape[0]), at
+        return at, (*(k[pick] for k in keys), -rows[at], num[pick], den[pick])
+
+
+class Pairs:
+    """Some records of the left side with some of the right: what their fields have in common."""
+
+    def __init__(self, config: LinkageConfig, left: Side, i: slice, right: Side, j: slice):
+        self.config, self.left, self.i, self.right, self.j = config, left, i, right, j
+        self.shape = len(left.key[i]), len(right.key[j])
+        self._common: dict[tuple[str, str], tuple | np.ndarray] = {}
+
+    def here(self, a: str, b: str) -> np.ndarray:
+        return self.left.here[a][self.i, None] & self.right.here[b][None, self.j]
+
+    def common(self, a: str, b: str) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+        """Ones in common and ones of both sides, or whether the bytes are equal."""
+        if (a, b) not in self._common:
+            words = [(x[self.i, None], y[None, self.j]) for x, y in zip(self.left.words[a], self.right.words[b])]
+            x, y = self.left.extra[a][self.i, None], self.right.extra[b][None, self.j]
+            if self.config.fields[a].comparator == "dice":
+                both = np.zeros(self.shape, dtype=np.int64)
+                for u, v in words:
+                    both += np.bitwise_count(u & v)
+                self._common[a, b] = both, np.maximum(x + y, 1)
+            else:
+                same = x == y
+                for u, v in words:
+                    same &= u == v
+                self._common[a, b] = same
+        return self._common[a, b]
+
+
+class Best:
+    """The best row so far of each client record, under one precision."""
+
+    def __init__(self, kernel: Kernel, records: np.ndarray):
+        self.kernel, self.records = kernel, records
+        self.found: tuple[np.ndarray, ...] | None = None
+
+    def add(self, pairs: Pairs, i: slice, rows: np.ndarray) -> None:
+        _, new = self.kernel.best(pairs, rows)
+        if self.found is None:
+            n = len(self.records)
+            self.found = tuple(np.zeros(n, dtype=x.dtype) for x in new)
+            self.seen = np.zeros(n, dtype=bool)
+        old = tuple(x[i] for x in self.found)
+        up = ~self.seen[i] | self.kernel.above(new[:-2], old[:-2])
+        for x, y in zip(self.found, new):
+            x[i] = np.where(up, y, x[i])
+        self.seen[i] = True
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """record_idx, row_idx, num, den of the records that met a row."""
+        if self.found is None:
+            return (self.records[:0],) * 4
+        s = self.seen
+        return self.records[s], -self.found[-3][s], self.found[-2][s], self.found[-1][s]
+
+
+def meet(kernels: list[Kernel], client: Side, batches: Iterator[Side]) -> list[Best]:
+    """Client records against a stream of server rows."""
+    out, n = [Best(k, client.key) for k in kernels], len(client.key)
+    for rows in batches:
+        wide = min(len(rows.key), PAIRS)
+        for lo in range(0, len(rows.key), max(1, wide)):
+            j, deep = slice(lo, lo + wide), max(1, PAIRS // wide)
+            for top in range(0, n, deep):
+                i = slice(top, min(top + deep, n))
+                pairs = Pairs(kernels[0].config, client, i, rows, j)
+                for b in out:
+                    b.add(pairs, i, rows.key[j])
+    return out
+
+
+def _batches(best: list[Best]) -> Iterator[pa.RecordBatch]:
+    """Rows (mode, record_idx, row_idx, and num and den as longs or doubles)."""
+    for mode, b in enumerate(best):
+        record, row, num, den = b.rows()
+        n = len(record)
+        if not n:
+            continue
+        gone = pa.nulls(n, pa.int64() if b.kernel.p.exact else pa.float64())
+        values = [pa.array(num), pa.array(den)]
+        longs, doubles = ([gone, gone], values) if b.kernel.p.exact else (values, [gone, gone])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, mode, dtype=np.int32)), pa.array(record), pa.array(row), *longs, *doubles], COLUMNS)
+
+
+COLUMNS = ["mode", "record_idx", "row_idx", "num", "den", "num_exact", "den_exact"]
+SCHEMA = "mode int, record_idx bigint, row_idx bigint, num bigint, den bigint, num_exact double, den_exact double"
+
+
+def of_mode(found: DataFrame, p: Precision, mode: int = 0) -> DataFrame:
+    """record_idx, row_idx, num, den of one precision."""
+    num, den = ("num_exact", "den_exact") if p.exact else ("num", "den")
+    return found.filter(F.col("mode") == mode).select("record_idx", "row_idx", F.col(num).alias("num"), F.col(den).alias("den"))
+
+
+def local_best(client: DataFrame, server: DataFrame, config: LinkageConfig, ps: list[Precision], client_is_small: bool) -> DataFrame:
     """The small side (of checked size) goes to all tasks; candidates per record and partition."""
-    kernel, schema = Kernel(config, p), OUT.format("double" if p.exact else "bigint")
+    kernels = [Kernel(config, p) for p in ps]
     small = narrow(client if client_is_small else server, config, "record_idx" if client_is_small else "row_idx").toArrow()
     large = narrow(server if client_is_small else client, config, "row_idx" if client_is_small else "record_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = Side(small, config)
         if client_is_small:
-            yield _batch(list(kernel.best_rows(few, (Side(b, config) for b in batches))), kernel.kind)
+            yield from _batches(meet(kernels, few, (Side(b, config) for b in batches)))
             return
         for b in batches:
-            if b.num_rows and len(few.key):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in kernel.best_of_records(Side(b, config), few)], ["record_idx", "row_idx", "num", "den"])
+            if b.num_rows:
+                yield from _batches(meet(kernels, Side(b, config), iter([few])))
 
-    return large.mapInArrow(run, schema)
+    return large.mapInArrow(run, SCHEMA)
 
 
-def block_best(client: DataFrame, server: DataFrame, config: LinkageConfig, p: Precision, blocks: tuple[int, int]) -> DataFrame:
+def block_best(client: DataFrame, server: DataFrame, config: LinkageConfig, ps: list[Precision], blocks: tuple[int, int]) -> DataFrame:
     """Both sides large: each pair of blocks is one task."""
-    kernel, schema = Kernel(config, p), OUT.format("double" if p.exact else "bigint")
-    lb, rb = blocks
+    kernels, (lb, rb) = [Kernel(config, p) for p in ps], blocks
     zero = F.lit(0).cast("bigint")
     left = narrow(client, config, "record_idx").withColumn("lb", F.pmod(F.xxhash64("key"), F.lit(lb))).withColumn("rb", F.explode(F.sequence(zero, F.lit(rb - 1).cast("bigint"))))
     right = narrow(server, config, "row_idx").withColumn("rb", F.pmod(F.xxhash64("key"), F.lit(rb))).withColumn("lb", F.explode(F.sequence(zero, F.lit(lb - 1).cast("bigint"))))
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
-        rows = []
+        found = []
         if few.num_rows and many.num_rows:
-            rows = list(kernel.best_rows(Side(few, config), (Side(pa.Table.from_batches([b]), config) for b in many.to_batches(max_chunksize=10_000))))
-        return pa.Table.from_batches([_batch(rows, kernel.kind)])
+            found = list(_batches(meet(kernels, Side(few, config), (Side(pa.Table.from_batches([b]), config) for b in many.to_batches(max_chunksize=10_000)))))
+        return pa.Table.from_batches(found, KINDS)
+
+    return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(run, SCHEMA)
+
 
-    return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(run, schema)
+KINDS = pa.schema([(c, pa.int32() if c == "mode" else pa.float64() if c.endswith("_exact") else pa.int64()) for c in COLUMNS])

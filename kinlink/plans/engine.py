@@ -16,8 +16,9 @@ The plan keeps it cheap:
   server rows.  The best of a run is a maximum of longs, a hash aggregate that is
   complete on the map side; only records times runs go through the shuffle.  Wide
   and exact modes use structs instead.
-* Wide ones (``kernel="arrow"``), whose code would pass the JVM's limits, go through
-  vector operations on Arrow batches (``operators.kernel``).  Results are equal.
+* Wide ones (``kernel="arrow"``), whose code would pass the JVM's limits, those with
+  exchange groups and modes without such a long go through vector operations on Arrow batches
+  (``operators.kernel``).  Results are equal.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions.codec import n_words
 from kinlink.operators.fold import PackedKey, check_long, float_key, long_key
-from kinlink.operators.kernel import block_best, local_best
+from kinlink.operators.kernel import block_best, local_best, of_mode
 from kinlink.operators.score import field_terms, pair_scores, passes, prepared, term_pairs
 from kinlink.plans.config import LinkageConfig
 from kinlink.plans.precision import Precision
@@ -67,7 +68,7 @@ class LinkageEngine:
         if self.kernel != "auto":
             return self.kernel == "arrow"
         words = sum(n_words(self.config.fields[a]) for a, _ in term_pairs(self.config))
-        return words > SQL_WORDS or PackedKey.of(self.precision, self.config) is None
+        return bool(self.config.groups) or words > SQL_WORDS or PackedKey.of(self.precision, self.config) is None
 
     @property
     def most_broadcast(self) -> int:
@@ -124,12 +125,16 @@ class LinkageEngine:
         """Scores of all pairs, or of those that may still be best."""
         if not self.uses_arrow:
             return self.scores(client, server)
+        return of_mode(self._found(client, server, [p]), p)
+
+    def _found(self, client: DataFrame, server: DataFrame, ps: list[Precision]) -> DataFrame:
+        """What the arrow kernel leaves of all pairs under some precisions."""
         check_columns(client, self.config, "record_idx")
         check_columns(server, self.config, "row_idx")
         n, d = client.select("record_idx").count(), server.select("row_idx").count()
         if min(n, d) <= self.most_broadcast:
-            return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, p, n <= d)
-        return block_best(client, server, self.config, p, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)))
+            return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, ps, n <= d)
+        return block_best(client, server, self.config, ps, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)))
 
     def _spread(self, df: DataFrame, rows: int, key: str) -> DataFrame:
         """Few rows in one file would otherwise be one task."""
@@ -171,9 +176,22 @@ class LinkageEngine:
 
 
 def score_table(config: LinkageConfig, client: DataFrame, server: DataFrame, modes=("int16", "int32", "int64", "exact")) -> DataFrame:
-    """Best sums per record and mode, side by side: num_<mode>, den_<mode>."""
-    out = client.select("record_idx")
-    for m in modes:
-        got = LinkageEngine(config, m).link(client, server)
-        out = out.join(got.select("record_idx", F.col("sum_field_weights").alias(f"num_{m}"), F.col("sum_weights").alias(f"den_{m}")), "record_idx")
-    return out
+    """Best sums per record and mode, side by side: num_<mode>, den_<mode>.
+
+    All modes share one pass over the pairs and their comparisons.
+    """
+    engines = [LinkageEngine(config, m) for m in modes]
+    ps = [e.precision for e in engines]
+    found = engines[0]._found(client, server, ps)
+    best = []
+    for i, (m, p) in enumerate(zip(modes, ps)):
+        num, den = (F.col("num_exact"), F.col("den_exact")) if p.exact else (F.col("num"), F.col("den"))
+        order = F.struct((float_key if p.exact else long_key)(num, den).alias("k"), (-F.col("row_idx")).alias("i"), num.alias("num"), den.alias("den"))
+        best.append(F.max(F.when(F.col("mode") == i, order)).alias(m))
+    out = client.select("record_idx").join(found.groupBy("record_idx").agg(*best), "record_idx", "left")
+    columns = []
+    for m, p in zip(modes, ps):
+        zero = F.lit(0.0) if p.exact else F.lit(0).cast("bigint")
+        den = F.coalesce(F.col(f"{m}.den"), zero)
+        columns += [F.coalesce(F.col(f"{m}.num"), zero).alias(f"num_{m}"), (den if p.exact else F.shiftleft(den, p.dice)).alias(f"den_{m}")]
+    return out.select("record_idx", *columns)
