@@ -7,8 +7,8 @@ class and id) are left out.  For every node the composite density is
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 with characters C, tags T, characters LC and tags LT in links (1 where 0) and b
-for the body.  A node's density sum adds those of its children.  The node with
-the largest sum is the kernel; the smallest density on its path to the body is
+for the body.  A node's density sum adds those of its children; inline elements, which
+are parts of a block's text, add none.  The node with the largest sum is the kernel; the smallest density on its path to the body is
 the threshold.  If the kernel lies in an article or main element, it is widened to
 that element; else the text is the kernel and those nodes beside its path whose
 density reaches the threshold.  Marked parts (comments, sidebars, adverts) go
@@ -244,7 +244,8 @@ class Page:
         dens = [0.0 if junk[k] else density(k) for k in range(n)]
         sums = [0.0] * n
         for k in range(1, n):
-            sums[parent[k]] += dens[k]
+            if tag[k] in BLOCK:
+                sums[parent[k]] += dens[k]
         kernel = max((k for k in range(n) if not junk[k]), key=lambda k: (sums[k], k == body, -k))
         if sums[kernel] <= 0.0:
             kernel = body

@@ -21,6 +21,11 @@ def test_articles_of_the_table(spark, sf_dir):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_density_alone_finds_the_same_texts(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])) == main_text(r["html"])
+
+
 @pytest.mark.parametrize("html, text", [
     (f"<body><div class='top-menu'><a href=x>Home</a></div><div><h1>Title</h1>{P}{P}</div><div id=comments>{P}</div></body>", f"Title\n{PARAGRAPH}\n{PARAGRAPH}"),
     (f"<div class=\"cookie-notice\">We use cookies.</div><main><section>{P}</section><section>{P}</section></main><footer>{P}</footer>", f"{PARAGRAPH}\n{PARAGRAPH}"),

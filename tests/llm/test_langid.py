@@ -29,3 +29,61 @@ def test_predictions_see_only_the_text(spark, odd, none):
     assert all((r["lang_pred"] == "und") == (r["text"] is None or not any(c.isalpha() for c in r["text"])) for r in rows)
     assert langid.predict(none, langid.fit(none)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), langid.fit(none)).collect()} == {"und"}
+
+
+def plain(labelled, texts):
+    """The definition, with dictionaries of words and n-grams."""
+    import math
+    import re
+    from collections import Counter
+
+    find = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [x[i:i + n] for x in [f"^{w}$" if n > 1 else w] for i in range(len(x) - n + 1)]
+    langs = sorted({x for x, _ in labelled})
+    counts = {(k, x): Counter() for k in langid.KINDS for x in langs}
+    for lang, text in labelled:
+        for w in find(text):
+            counts[0, lang][w] += 1
+            for n in langid.GRAMS:
+                counts[n, lang].update(grams(w, n))
+    known = {k: set().union(*(counts[k, x] for x in langs)) for k in langid.KINDS}
+    total = {(k, x): sum(counts[k, x].values()) + langid.ALPHA * max(1, len(known[k])) for k in langid.KINDS for x in langs}
+    log = lambda k, x, e: math.log((counts[k, x][e] + langid.ALPHA) / total[k, x])
+    for text in texts:
+        sums = dict.fromkeys(langs, 0.0)
+        for w, c in Counter(find(text or "")).items():
+            if w in known[0]:
+                found = {x: log(0, x, w) for x in langs}
+            else:
+                own = next(([(n, g) for g in grams(w, n) if g in known[n]] for n in langid.GRAMS if any(g in known[n] for g in grams(w, n))), [])
+                found = {x: sum(log(n, x, g) for n, g in own) / len(own) for x in langs} if own else {}
+            for x, s in found.items():
+                sums[x] += c * s
+        best = max(langs, key=lambda x: sums[x])
+        yield best, 1 / sum(math.exp(max(sums[x] - sums[best], -700)) for x in langs)
+
+
+def test_equals_a_plain_scorer(spark, sf_dir):
+    rows = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = plain([(r["lang"], r["text"]) for r in rows if r["lang"] and r["text"] and not out(r["doc_id"])], [r["text"] for r in rows])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op4_language_id(spark, sf_dir).collect()}
+    for r, (lang, score) in zip(rows, want):
+        mine = got[r["doc_id"]]
+        if mine[0] != "und":
+            assert mine[0] == lang and mine[1] == pytest.approx(score, abs=1e-3)
+
+
+def test_signs_that_are_no_letters():
+    model = langid.Model([("de", 0, "und", 5), ("en", 0, "and", 5)])
+    got = list(model.predict(["² ½ Ⅷ ①", "12_34", "and ²", "\u0660\u0661", "ªnd"]))
+    assert [g[0] for g in got] == ["und", "und", "en", "und", "de"]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    model = langid.Model([("de", 0, "und", 5), ("en", 0, "and", 5), ("de", 4, "undu", 3), ("en", 4, "anda", 3)])
+    texts = ["and und " * 50 + "and", "anda" * 40, None, "und " * 30 + "x" * 90, ""]
+    want = list(model.predict(texts))
+    monkeypatch.setattr(langid.pieces, "__defaults__", (16,))
+    got = list(model.predict(texts))
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
