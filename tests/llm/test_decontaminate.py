@@ -136,3 +136,29 @@ def test_finds_inserted_words_in_long_items():
         texts.append(" ".join([*(word() for _ in range(30)), *words, *(word() for _ in range(30))]))
     got = {(row, item) for row, item, _, _ in d.Index(items).leaks(pa.array(texts))}
     assert got == {(k, k) for k, _ in items}
+
+
+def test_scripts_without_spaces():
+    import pyarrow as pa
+
+    item = "\u6c34\u66dc\u65e5\u306b\u5e02\u5834\u3078\u884c\u304f"
+    index = d.Index([(1, item), (2, "\u6c34\u66dc"), (3, "one two"), (4, None), (5, "a b c")])
+    assert index.ids == [1, 5]
+    texts = ["\u6628" * 20 + item + "\u6628" * 20, item, "one two", "\u6c34\u66dc", None, "say a b c"]
+    assert sorted((r, k) for r, k, _, _ in index.leaks(pa.array(texts))) == [(0, 0), (1, 0), (5, 1)]
+
+
+def test_seeds_are_the_pieces_of_the_items():
+    rng = random.Random(2)
+    items = [(k, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(3, 60)))) for k in range(50)]
+    index, want = d.Index(items), []
+    for k, (_, t) in enumerate(items):
+        t, e = t.encode(), int(d.RATIO * len(t))
+        for j in range(e + 1):
+            a, b = len(t) * j // (e + 1), len(t) * (j + 1) // (e + 1)
+            want.append((t[a:min(b, a + 8)], t[max(a, b - 8):b], b - a, k, a))
+    got = []
+    for mask, _, _, head, tail, length, item, place in index.seeds:
+        n = int(mask).bit_length() // 8
+        got += [(int(h).to_bytes(n, "little"), int(x).to_bytes(n, "little"), m, k, a) for h, x, m, k, a in zip(head.tolist(), tail.tolist(), length.tolist(), item.tolist(), place.tolist())]
+    assert sorted(got) == sorted(want)
