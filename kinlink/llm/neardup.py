@@ -17,7 +17,8 @@
    gets each member's full set once, confirms all near pairs across components
    and hands on one link per two components.  So no link between different texts
    is lost, yet a group never makes rows for its pairs.  Buckets and groups above
-   ``SPLIT`` rows are dealt to pairs of blocks: a task holds two blocks at most.
+   ``SPLIT`` rows (or their sets' bytes) are dealt to pairs of blocks: a task holds two
+   blocks at most.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; a null doc_id is linked with nothing, its component is null and it is
@@ -47,7 +48,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: average with deviation 4.9, so one in 30,000 such pairs is further off.
 LONG, NEAR = 128, 52
 PERCENT = 75
-SPLIT = 2048
+#: Rows of a block, each counted once for every SET_BYTES of its set.
+SPLIT, SET_BYTES = 2048, 16 << 10
 #: Bits of the filter that keeps texts out of an exchange; its size is fixed.
 FILTER_BITS = 1 << 25
 
@@ -284,8 +286,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if chains.take(1):
         group = cut(components(chains).select("id", F.col("root").alias("group")))
         own = shingle_sets(docs, group.select(F.col("id").alias("doc_id"))).withColumnRenamed("sid", "id")
-        sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-        full = (group.join(sizes, "group").join(own, "id").join(reps, "id").join(comp, "id", "left")
+        held = cut(group.join(own, "id"))
+        weight = F.ceil(F.octet_length("own") / SET_BYTES)
+        sizes = held.groupBy("group").agg(F.sum(weight).alias("size"))
+        full = (held.join(sizes, "group").join(reps, "id").join(comp, "id", "left")
                 .select("group", "size", "id", F.coalesce("root", "id").alias("comp"), "sketch", "own"))
         final = cut(components(links.union(by_blocks(full, "group").applyInArrow(_links, "u bigint, v bigint"))))
     owner = classes.join(final, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("__root"))
