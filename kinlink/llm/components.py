@@ -27,14 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star moves a node's larger neighbours to its smallest one.  A node with very
     many neighbours is one key there: minima are taken on the map side first, and the
     join back to the edges has a plain exchange on either side (``_anew``), so that
-    Spark splits the key's edges over tasks.  Small-star does the same to the smaller
+    Spark splits the key's edges over tasks (``merge``: broadcasts of what happens to be
+    small only cost the driver memory).  Small-star does the same to the smaller
     neighbours; of these a node has few.  Every round is cut.
     """
     e, seen = _cut_edges(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(_anew(F.col("u")).alias("k"), F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(low.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         e, now = _cut_edges(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("z")).select("z.u", "z.v"))
         if now == seen:

@@ -153,7 +153,7 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     some = (docs.withColumn("__s", slot).join(F.broadcast(maps), F.bitmap_bucket_number("__s") == F.col("__b"))
             .filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__s", "__b", "__map"))
-    return some.join(ids, "doc_id", "left_semi")
+    return some.join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -243,8 +243,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of doc_ids whose full sets are similar enough."""
     sets = cut(shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()))
-    return (pairs.join(sets.select(F.col("sid").alias("u"), F.col("own").alias("a")), "u")
-            .join(sets.select(F.col("sid").alias("v"), F.col("own").alias("b")), "v")
+    return (pairs.join(sets.select(F.col("sid").alias("u"), F.col("own").alias("a")).hint("merge"), "u")
+            .join(sets.select(F.col("sid").alias("v"), F.col("own").alias("b")).hint("merge"), "v")
             .select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint"))
 
 
@@ -267,35 +267,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_rows = cut(describe(docs))
     classes = cut(all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
                   .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
-    reps = classes.filter("n > 1").select(F.col("rep").alias("id"), "sketch")
+    # Joins by merging throughout: what is small enough to broadcast only costs the driver memory.
+    reps = classes.filter("n > 1").select(F.col("rep").alias("id"), "sketch").hint("merge")
     keys = classes.filter("n > 1").select(F.col("rep").alias("id"), "sig").select("id", F.explode(sub_keys()).alias("key"))
     buckets = cut(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = cut(keys.join(buckets, "key"))
+    members = cut(keys.join(buckets.hint("merge"), "key"))
     pairs = members.filter("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    near = cut(pairs.join(reps.select(F.col("id").alias("u"), F.col("sketch").alias("x")), "u")
-               .join(reps.select(F.col("id").alias("v"), F.col("sketch").alias("y")), "v")
+    near = cut(pairs.join(reps.select(F.col("id").alias("u"), F.col("sketch").alias("x")).hint("merge"), "u")
+               .join(reps.select(F.col("id").alias("v"), F.col("sketch").alias("y")).hint("merge"), "v")
                .select("u", "v", "x", "y").mapInArrow(_near, "u bigint, v bigint"))
     links = cut(confirmed(docs, near))
     comp = cut(components(links))
-    named = (members.filter("size > 2").join(comp, "id", "left")
-             .select("key", "id", "size", F.coalesce("root", "id").alias("comp")))
+    named = cut(members.filter("size > 2").join(comp.hint("merge"), "id", "left")
+                .select("key", "id", "size", F.coalesce("root", "id").alias("comp")))
     mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-    rows = named.join(mixed, "key", "left_semi").join(reps, "id").select("key", "size", "id", "comp", "sketch")
+    rows = named.join(mixed.hint("merge"), "key", "left_semi").join(reps, "id").select("key", "size", "id", "comp", "sketch")
     chains = cut(by_blocks(rows, "key").applyInArrow(_chains, "u bigint, v bigint").distinct())
     final = comp
     if chains.take(1):
         group = cut(components(chains).select("id", F.col("root").alias("group")))
         own = shingle_sets(docs, group.select(F.col("id").alias("doc_id"))).withColumnRenamed("sid", "id")
-        held = cut(group.join(own, "id"))
+        held = cut(group.join(own.hint("merge"), "id"))
         weight = F.ceil(F.octet_length("own") / SET_BYTES)
         sizes = held.groupBy("group").agg(F.sum(weight).alias("size"))
-        full = (held.join(sizes, "group").join(reps, "id").join(comp, "id", "left")
+        full = (held.join(sizes.hint("merge"), "group").join(reps, "id").join(comp.hint("merge"), "id", "left")
                 .select("group", "size", "id", F.coalesce("root", "id").alias("comp"), "sketch", "own"))
         final = cut(components(links.union(by_blocks(full, "group").applyInArrow(_links, "u bigint, v bigint"))))
-    owner = classes.join(final, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("__root"))
+    owner = classes.join(final.hint("merge"), F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("root", "rep").alias("__root"))
     found = F.coalesce("__root", "doc_id")
     lone = all_rows.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("__root"))
-    return (all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(owner, "digest", "left").select("doc_id", "n_shingles", "__root").union(lone)
+    return (all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(owner.hint("merge"), "digest", "left").select("doc_id", "n_shingles", "__root").union(lone)
             .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept")))
 
 
@@ -303,7 +304,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with one document of each group."""
     kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    first = (docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
+    first = (docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
              .withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))).filter("__n = 1").drop("__n", "__text"))
     return first.unionByName(docs.filter("doc_id IS NULL"))
 
