@@ -277,6 +277,19 @@ def service_jobs(spark, sf_dir):
     return spark.createDataFrame(out, "remote string, kind string, status string, said string")
 
 
+@query("SELECT count(*) FILTER (WHERE c_custkey % 4 <> 1) AS at_first, count(*) FILTER (WHERE c_custkey % 4 = 1) AS added, CAST(0 AS BIGINT) AS added_again FROM customer")
+def service_changes(spark, sf_dir):
+    """What a database has gained since the last poll."""
+    service, (_, server) = _service(spark, sf_dir), _sides(spark, sf_dir)
+    key = F.substring_index("id", "#", -1).cast("bigint")
+    found = []
+    for rows in (server.filter(key % 4 != 1), server, server):
+        service._load = lambda rows=rows: rows
+        found.append(service.poll_changes())
+    service.close()
+    return spark.createDataFrame([tuple(found)], "at_first bigint, added bigint, added_again bigint")
+
+
 @query("SELECT * FROM (VALUES ('same configuration', true), ('other threshold', false), ('other field', false), ('service answers', true), ('service is gone', false), ('no service', false)) v(what, ok)")
 def service_tests(spark, sf_dir):
     """The tests of a remote: equal configurations, and whether its linkage service answers."""

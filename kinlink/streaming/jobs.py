@@ -66,12 +66,28 @@ class LinkageService:
         """Load a new snapshot; the number of its rows."""
         fresh = self._load().cache()
         n = fresh.count()
+        self._replace(fresh)
+        return n
+
+    def poll_changes(self) -> int:
+        """Load a new snapshot; the number of its rows whose ids the last one lacks."""
+        if self._snapshot is None:
+            return self.poll_database()
+        data = self._begin()
+        try:
+            fresh = self._load().cache()
+            n = fresh.join(data.select("id"), "id", "left_anti").count()
+            self._replace(fresh)
+        finally:
+            self._end(data)
+        return n
+
+    def _replace(self, fresh: DataFrame) -> None:
         with self._lock:
             old, self._snapshot = self._snapshot, fresh
             unused = old is not None and not self._uses.get(id(old))
         if unused:
             old.unpersist()
-        return n
 
     def database(self) -> DataFrame:
         with self._loading:  # one load, however many jobs ask first
