@@ -42,6 +42,7 @@ from kinlink.llm.words import mix
 GRAMS = (4, 3, 2, 1)
 KINDS = (0, *GRAMS)
 PER_LANGUAGE, ALPHA = 4000, 0.5
+BENEFIT = 2
 #: Entries that a task holds before it hands them on, and characters read at once.
 FLUSH, PIECE = 1_000_000, 1 << 19
 
@@ -215,41 +216,52 @@ class Model:
         hit = np.flatnonzero(keys[at] == entry)
         return hit, at[hit]
 
-    def _word_scores(self, words: Words, entry: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """One row for each distinct word: its scores in all languages."""
-        out = np.zeros((len(entry), len(self.langs)))
+    def _word_scores(self, words: Words, entry: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One row for each distinct word: its scores in all languages; and how much of it
+        is known: 1 for a known word, else the known share of its longest n-grams."""
+        out, known = np.zeros((len(entry), len(self.langs))), np.zeros(len(entry))
         hit, row = self.find(0, entry)
-        out[hit] = self.logs[0][row]
+        out[hit], known[hit] = self.logs[0][row], 1.0
         unseen = np.setdiff1d(np.arange(len(entry)), hit, assume_unique=True)
         for n in GRAMS:
             if not len(unseen):
                 break
-            gram, owner = words.grams(first[unseen], n)
+            gram, whole = words.grams(first[unseen], n)
             hit, row = self.find(n, gram)
-            owner = owner[hit]
+            owner = whole[hit]
             many = np.bincount(owner, minlength=len(unseen))
+            if n == GRAMS[0]:
+                known[unseen] = many / np.maximum(1, np.bincount(whole, minlength=len(unseen)))
             some = np.flatnonzero(many)
             for k in range(len(self.langs)):
                 out[unseen[some], k] = np.bincount(owner, weights=self.logs[n][row, k], minlength=len(unseen))[some] / many[some]
             unseen = unseen[many == 0]
-        return out
+        return out, known
 
     def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """The language of each text and its score."""
+        for lang, score, _ in self.judge(texts):
+            yield lang, score
+
+    def judge(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float, float]]:
+        """As ``predict``, and the share of the text's words that the model knows, in which
+        ``BENEFIT`` further words count as known: little text is little evidence."""
         texts = list(texts)
-        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
+        total, n, sure = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
         if self.langs:
             for number, words in pieces(texts):
                 entry, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-                scores, owner = self._word_scores(words, entry, first), number[words.text]
+                (scores, known), owner = self._word_scores(words, entry, first), number[words.text]
                 n += np.bincount(owner, minlength=len(texts))
+                sure += np.bincount(owner, weights=known[place], minlength=len(texts))
                 for k in range(len(self.langs)):
                     total[:, k] += np.bincount(owner, weights=scores[place, k], minlength=len(texts))
         best = total.argmax(axis=1) if self.langs else n
         for i, (k, some) in enumerate(zip(best.tolist(), n.tolist())):
             if some:
-                yield self.langs[k], 1.0 / float(np.exp(np.maximum(total[i] - total[i, k], -700.0)).sum())
+                yield self.langs[k], 1.0 / float(np.exp(np.maximum(total[i] - total[i, k], -700.0)).sum()), (sure[i] + BENEFIT) / (some + BENEFIT)
             else:
-                yield "und", 0.0
+                yield "und", 0.0, 0.0
 
 
 def held_out() -> F.Column:
@@ -269,8 +281,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 @keeps_names
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` (text, ...) with the prediction and its score as last columns.
+def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (text, ...) with the prediction and its score as last columns, and under a
+    third name the share that is known (see ``Model.judge``).
 
     The model travels with the function, which Spark broadcasts.
     """
@@ -278,12 +291,12 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     made = {n.lower() for n in names}
     where = [i for i, c in enumerate(docs.columns) if c.lower() not in made]
     kept = [docs.columns[i] for i in where]
-    schema = ", ".join(f"{quoted(c)} {t}" for c, t in (docs.dtypes[i] for i in where)) + f"{', ' if where else ''}{names[0]} string, {names[1]} double"
+    schema = ", ".join(f"{quoted(c)} {t}" for c, t in (docs.dtypes[i] for i in where)) + (", " if where else "") + ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "double", "double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(model.predict(decoded(b.column(place))))
-            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            got = list(model.judge(decoded(b.column(place))))
+            more = [pa.array([g[k] for g in got], pa.float64() if k else pa.string()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in where] + more, kept + list(names))
 
     return docs.mapInArrow(run, schema)

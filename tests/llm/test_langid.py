@@ -87,3 +87,13 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(langid.pieces, "__defaults__", (16,))
     got = list(model.predict(texts))
     assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
+def test_share_that_is_known(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    rows = langid.predict(docs.select("doc_id", "text"), model, ("lang", "score", "known")).collect()
+    assert all(r["known"] > 0.8 for r in rows if r["lang"] != "und") and all(r["known"] == 0 for r in rows if r["lang"] == "und")
+    strange = ["Zażółć gęślą jaźń i idź precz, bo pchnąć w tę łódź jeża lub ośm skrzyń fig", "xqzw vbnm qwrt zxcv plkj hgfd mnbv wqxz kjhg zxqw", "zq", None]
+    known = [k for _, _, k in model.judge(strange)]
+    assert known[0] < 0.25 and known[1] < 0.25 and known[2] > 0.25 and known[3] == 0
