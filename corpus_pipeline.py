@@ -10,23 +10,26 @@ from pyspark.sql import functions as F
 from kinlink.llm import decontaminate, langid, mixing, neardup, sharding
 from kinlink.llm.scratch import checkpoint_dir, keeps_names, quoted, remove, tables
 
-#: A document goes if no language can be told: no letter, or no language that leads
-#: an even share by this much (nothing in the text is known in any language).
-LEAD = 0.01
+#: A document goes if no language can be told: no letter, no language that leads an even
+#: share by this much, or less of its words known than this in any language. Documents
+#: of learned languages have 0.97 and more, Polish or keyboard rows 0.2 and less.
+LEAD, KNOWN = 0.01, 0.25
 
 
 @keeps_names
 def _told(docs: DataFrame) -> DataFrame:
     model = langid.fit(docs)
     least = 1 / len(model.langs) + LEAD if len(model.langs) > 1 else 0.0
-    told = langid.predict(docs, model, ("__lang", "__score"))
-    return told.filter((F.col("__lang") != "und") & (F.col("__score") > least)).drop("__lang", "__score")
+    told = langid.predict(docs, model, ("__lang", "__score", "__known"))
+    good = (F.col("__lang") != "und") & (F.col("__score") > least) & (F.col("__known") >= KNOWN)
+    return told.filter(good).drop("__lang", "__score", "__known")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told.
 
-    A null, empty or letterless text goes; so does every one if no row has a label.
+    A null, empty or letterless text goes, as does one in a language that no label names;
+    so does every one if no row has a label.
     Repeated rows stay, an empty table gives an empty result, all columns are kept.
     """
     del spark, sf_dir
