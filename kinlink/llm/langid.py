@@ -277,7 +277,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # The sample is bounded, so it can be spread: one file would be one task.
     spread = sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     counted = spread.mapInArrow(count_texts, "lang string, kind int, entry bigint, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
-    return Model.of(counted.toArrow())
+    model = Model.of(counted.toArrow())
+    pa.default_memory_pool().release_unused()  # the counts are several times the model
+    return model
 
 
 @keeps_names
