@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import keeps_names, quoted, tables
-from kinlink.llm.words import mix
+from kinlink.llm.words import give_back, mix
 
 GRAMS = (4, 3, 2, 1)
 KINDS = (0, *GRAMS)
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     spread = sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     counted = spread.mapInArrow(count_texts, "lang string, kind int, entry bigint, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     model = Model.of(counted.toArrow())
-    pa.default_memory_pool().release_unused()  # the counts are several times the model
+    give_back()
     return model
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.words import utf8
+from kinlink.llm.words import give_back, utf8
 
 #: Bytes of text that a map task settles at once, and of text in a document bucket.
 CHUNK, HOME = 8 << 20, 6 << 20
@@ -79,7 +79,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Ch
                 yield Chunk(rows)
                 rows, size = [], 0
                 # Workers live on: give back what Arrow keeps of earlier batches.
-                pa.default_memory_pool().release_unused()
+                give_back()
     if rows:
         yield Chunk(rows)
 
@@ -128,7 +128,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= CHUNK:
                 yield flush()
                 size = 0
-                pa.default_memory_pool().release_unused()
+                give_back()
     if held:
         yield flush()
 
@@ -143,7 +143,7 @@ def _texts(blobs: list[bytes]) -> Iterator[tuple[int | None, int, bytes]]:
 
 
 def _finish(docs: pa.Table, lost: pa.Table) -> pa.Table:
-    pa.default_memory_pool().release_unused()
+    give_back()
     parts = [[], [], [], []]
     for blob in lost["blob"].to_pylist():
         i, t, d, s, n = unpack(blob)

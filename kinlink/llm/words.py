@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,17 @@ _POWER = np.cumprod(np.full(_SPAN, 0x9E3779B97F4A7C15, dtype=np.uint64))
 PIECE, BLOCK = 1 << 20, 4 << 20
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the allocator keep of work that is done.
+
+    Python workers live on from task to task, and so does the driver.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
