@@ -73,3 +73,48 @@ def test_rows_without_an_id_spread(spark):
     check(rows, 4)
     runs = [r["text"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
     assert runs != sorted(runs) and {r["__p"] for r in rows} == {"x"}
+
+
+def plain(rows, shards, seed):
+    """(doc_id, text) -> [(doc_id, crc, shard, slot)], step by step in Python."""
+    import struct
+
+    import xxhash
+
+    def digest(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                raw = v.encode() if isinstance(v, str) else struct.pack("<q" if isinstance(v, Long) else "<i", v)
+                h = xxhash.xxh64(raw, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    class Long(int):
+        pass
+
+    long = lambda v: None if v is None else Long(v)
+    partitions, cells = sharding.layout(len(rows), shards)
+    parts = [[] for _ in range(partitions)]
+    for i, t in rows:
+        parts[digest(seed, long(i), t) % partitions].append((i, zlib.crc32((t or "").encode())))
+    sizes = [c for n in sharding.shard_sizes(len(rows), shards) for c in sharding.shard_sizes(n, cells)]
+    matrix, held = sharding.communication_matrix([len(p) for p in parts], sizes, seed), [[] for _ in sizes]
+    order = lambda s: lambda r: (digest(s, long(r[0]), long(r[1])), r[0] is not None, r[0] or 0, r[1])
+    for p, counts in zip(parts, matrix.tolist()):
+        p.sort(key=order(seed + 1))
+        for cell, n in enumerate(counts):
+            held[cell] += p[:n]
+            del p[:n]
+    out = []
+    for s in range(shards):
+        own = [r for c in range(s * cells, (s + 1) * cells) for r in sorted(held[c], key=order(seed + 2))]
+        out += [(*r, s, k) for k, r in enumerate(own)]
+    return out
+
+
+def test_equals_a_plain_version(spark, odd, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for df, shards in ((docs, 40), (odd.select("doc_id", "text"), 3)):
+        want = plain([tuple(r) for r in df.collect()], shards, sharding.SEED)
+        got = [(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(df, shards).collect()]
+        assert sorted(got, key=lambda r: (r[2], r[3])) == sorted(want, key=lambda r: (r[2], r[3])) and len(got) == len({(r[2], r[3]) for r in got})
