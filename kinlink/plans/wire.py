@@ -435,10 +435,10 @@ def generated_ids(spark, sf_dir):
     return made.agg(F.count("id").alias("ids"), F.count_distinct("id").alias("different"), F.max(F.length("id")).cast("bigint").alias("digits"))
 
 
-@query("SELECT c_custkey, c_name AS \"person.name\", c_nationkey AS \"person.home.nation\", c_mktsegment AS segment FROM customer")
+@query("SELECT c_custkey, c_name AS person_name, c_nationkey AS person_home_nation, c_mktsegment AS segment FROM customer")
 def flatten_nested(spark, sf_dir):
     nested = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation")).alias("home")).alias("person"), F.col("c_mktsegment").alias("segment"))
-    return stats.flatten(nested)
+    return stats.flatten(nested, "_")
 
 
 @query("SELECT event_type, user_id, count(*) AS runs FROM events GROUP BY event_type, user_id")
