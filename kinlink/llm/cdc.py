@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.scratch import tables
+from kinlink.llm.words import tidy
 from kinlink.llm.spans import chunks, doc_table, lost_rows, pack, remove_repeats, unpack
 
 LEAST, MOST, BITS = 32, 512, 5
@@ -66,6 +67,7 @@ def _first(hi, lo, ids, place):
     return order, new
 
 
+@tidy
 def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches):
         digests, doc, start, size = [], [], [], []

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import keeps_names, tables
-from kinlink.llm.words import LOWER, SPACES, blocks
+from kinlink.llm.words import LOWER, SPACES, blocks, tidy
 
 #: Items of fewer words and fewer bytes match nothing; scripts without spaces have one word.
 LEAST_WORDS, LEAST_BYTES, RATIO = 3, 24, 0.1
@@ -219,6 +219,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = "doc_id bigint, item_id bigint, edit_distance bigint, item_bytes bigint, start_byte bigint"
     for index in item_blocks(items):
 
+        @tidy
         def scan(batches, index=index):
             for b in batches:
                 ids, found = b.column(0), list(index.leaks(b.column(1)))
@@ -239,6 +240,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
     for index in item_blocks(items):
 
+        @tidy
         def keep(batches, index=index):
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import tables
+from kinlink.llm.words import tidy
 
 OPEN = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|(!--)|[!?/])")
 REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -297,6 +298,7 @@ def main_text(html: str | None) -> str:
     return Page(html).text() if html else ""
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [main_text(x.as_py()) for x in b.column(2)]

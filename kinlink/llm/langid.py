@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.scratch import keeps_names, quoted, tables
-from kinlink.llm.words import give_back, mix
+from kinlink.llm.words import give_back, mix, tidy
 
 GRAMS = (4, 3, 2, 1)
 KINDS = (0, *GRAMS)
@@ -45,6 +45,8 @@ PER_LANGUAGE, ALPHA = 4000, 0.5
 BENEFIT = 2
 #: Entries that a task holds before it hands them on, and characters read at once.
 FLUSH, PIECE = 1_000_000, 1 << 19
+#: Texts that are decoded at once.
+ROWS = 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -142,6 +144,7 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return entry, np.bincount(number, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
+@tidy
 def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns lang, text -> lang, kind (0: word, n: n-gram), entry, count."""
     held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -295,9 +298,12 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred"
     kept = [docs.columns[i] for i in where]
     schema = ", ".join(f"{quoted(c)} {t}" for c, t in (docs.dtypes[i] for i in where)) + (", " if where else "") + ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "double", "double")))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(model.judge(decoded(b.column(place))))
+            # A few texts at a time: a batch may hold 64 MB of them.
+            parts = (b.column(place).slice(lo, ROWS) for lo in range(0, b.num_rows, ROWS))
+            got = [g for part in parts for g in model.judge(decoded(part))]
             more = [pa.array([g[k] for g in got], pa.float64() if k else pa.string()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in where] + more, kept + list(names))
 

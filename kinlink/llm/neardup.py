@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.components import components
 from kinlink.llm.scratch import cut, keeps_names, tables
-from kinlink.llm.words import LOWER, blocks, mix, shingles, word_hashes
+from kinlink.llm.words import LOWER, blocks, give_back, mix, shingles, tidy, word_hashes
 
 WORDS, CHUNKS, WIDTH = 5, 9, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -77,6 +77,7 @@ def signature(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, sketch
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, values, n in shingle_blocks(b.column(1)):
@@ -94,6 +95,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "n_shingles", "digest", "sig", "sketch"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, values, n in shingle_blocks(b.column(1)):
@@ -104,6 +106,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(own, pa.binary())], ["sid", "own"])
 
 
+@tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
@@ -134,6 +137,7 @@ def sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG)
 
 
+@tidy
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = (sketches(b.column(2)) != sketches(b.column(3))).sum(axis=1) <= NEAR
@@ -199,6 +203,8 @@ def _chains(rows: pa.Table) -> pa.Table:
     forest = Forest(np.arange(len(ids)))
     for i, to in _near_pairs(rows):
         out += [(i, j) for j in forest.join(i, to)]
+    if len(ids) > 256:
+        give_back()
     return _edges(ids, out)
 
 
@@ -232,6 +238,9 @@ def _links(rows: pa.Table) -> pa.Table:
     for i, to in _near_pairs(rows):
         n = common[at[int(i)], place[to]]
         out += [(i, j) for j in forest.join(i, to[100 * n >= PERCENT * (sizes[i] + sizes[to] - n)])]
+    del common, sets
+    if len(ids) > 256:
+        give_back()
     return _edges(ids, out)
 
 

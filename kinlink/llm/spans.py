@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.words import give_back, utf8
+from kinlink.llm.words import give_back, tidy, utf8
 
 #: Bytes of text that a map task settles at once, and of text in a document bucket.
 CHUNK, HOME = 8 << 20, 6 << 20
@@ -104,6 +104,7 @@ def lost_rows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.nd
     return pa.table({"home": pa.array(out_home, pa.int64()), "blob": pa.array(out_blob, pa.binary())})
 
 
+@tidy
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, tag, home, text -> home, blob of many documents."""
     held: dict[int, list] = {}

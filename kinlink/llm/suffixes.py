@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.scratch import tables
+from kinlink.llm.words import tidy
 from kinlink.llm.spans import Chunk, chunks, doc_table, lost_rows, pack, remove_repeats, steps, unpack
 
 LENGTH, GRAM = 50, 8
@@ -108,6 +109,7 @@ def contexts(c: Chunk, heavy: np.ndarray | None = None) -> Iterator[tuple[bytes,
         yield raw, doc[part], qs - begin[part] + place[part], qs, qe + LENGTH, grams[anchor[qs]]
 
 
+@tidy
 def _weigh(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
     """Bytes of contexts by slot of their anchors' hashes."""
     total = np.zeros(slots, dtype=np.int64)
@@ -118,6 +120,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "bytes"])
 
 
+@tidy
 def _emit(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches):
         seen: dict[bytes, int] = {}

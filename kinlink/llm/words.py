@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,19 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(batches: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """For functions over batches: what they held is given back at the end of a partition."""
+
+    @functools.wraps(batches)
+    def run(*args, **more) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(*args, **more)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
