@@ -3,8 +3,8 @@
 One whole-stage method for a pair of, say, eight fields with 500-bit masks and a
 group of three passes the JVM's limits for compiled code and then runs
 interpreted.  Here a few records of one side meet a batch of the other at a time
-(about ``PAIRS`` pairs, which stay in a core's cache): each step is one vector
-operation, pairs never become rows, and only the best per record leaves a partition.
+(about ``PAIRS`` pairs, some MB of arrays): each step is one vector operation, pairs
+never become rows, and only the best per record leaves a partition.
 Several precisions share the comparisons of a pair.  Numbers are the same as in
 ``operators.score``, and so are the orders of quotients.
 """
@@ -24,7 +24,7 @@ from kinlink.operators.fold import PackedKey
 from kinlink.plans.config import LinkageConfig
 from kinlink.plans.precision import Precision
 
-PAIRS = 1 << 15
+PAIRS = 1 << 17
 
 
 def narrow(df: DataFrame, config: LinkageConfig, key: str) -> DataFrame:
