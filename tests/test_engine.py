@@ -200,3 +200,20 @@ def test_modes_agree_within_tolerance(spark):
     p = Precision.of("int32", config)
     a, b = client.first().asDict(), server.first().asDict()
     assert pair(config, p, a, b)[1] > 0
+
+
+@pytest.mark.parametrize("mode", ["int8", *MODES])
+def test_equality_is_looked_up(spark, monkeypatch, mode):
+    # Same rows as all pairs give, with empty fields, copies and equal quotients, and no pair is made.
+    rng = random.Random(11)
+    config = LinkageConfig.of([FieldSpec(f"n{i}", f, 0.01, "binary", "integer", 2) for i, f in enumerate((0.04, 0.001, 0.09, 0.04))], 0.8, 0.5)
+    make = lambda n: [{c: None if rng.random() < 0.3 else bytes([rng.randrange(4)]) for c in config.names} for _ in range(n)]
+    client, server = make(40) + [dict.fromkeys(config.names)], make(60)
+    left, right = frames(spark, config, client, server)
+    want = link(config, mode, client, server)
+    for few in (server[:3], [dict.fromkeys(config.names)] + server[:5]):
+        close(rows(LinkageEngine(config, mode).link(left, frames(spark, config, client, few)[1])), link(config, mode, client, few), mode)
+    monkeypatch.setattr(LinkageEngine, "pairs", None)
+    close(rows(LinkageEngine(config, mode).link(left, right)), want, mode)
+    c = LinkageEngine(config, mode).count(left, right).first()
+    assert (c["matches"], c["tentative_matches"]) == (sum(w[1] for w in want), sum(w[2] for w in want))
