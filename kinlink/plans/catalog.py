@@ -224,7 +224,7 @@ def _fold_sql(op: str) -> str:
 
 def _fold(op: str) -> Query:
     def run(spark, sf_dir):
-        return fold.fold(pair_scores(spark, sf_dir), op, "num", "den", "row_idx", by=["record_idx"], place="row_idx")
+        return LinkageEngine(VIEWS["swap"].config).fold(*_sides(spark, sf_dir, "swap"), op)
 
     return run
 

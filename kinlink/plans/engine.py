@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions.codec import n_words
-from kinlink.operators.fold import PackedKey, check_long, float_key, long_key
+from kinlink.operators.fold import PackedKey, check_long, float_key, fold, long_key
 from kinlink.operators.kernel import block_best, local_best, of_mode
 from kinlink.operators.score import field_terms, pair_scores, passes, prepared, term_pairs
 from kinlink.plans.config import LinkageConfig
@@ -172,14 +172,19 @@ class LinkageEngine:
             den.append(F.when(has("both", k), F.lit(w) if p.exact else F.lit(w).cast("bigint")).otherwise(zero))
         return met.select("record_idx", "row_idx", reduce(lambda a, c: a + c, num).alias("num"), reduce(lambda a, c: a + c, den).alias("den"))
 
-    def _found(self, client: DataFrame, server: DataFrame, ps: list[Precision]) -> DataFrame:
+    def _found(self, client: DataFrame, server: DataFrame, ps: list[Precision], op: str = "MAX_TIE") -> DataFrame:
         """What the arrow kernel leaves of all pairs under some precisions."""
         check_columns(client, self.config, "record_idx")
         check_columns(server, self.config, "row_idx")
         n, d = client.select("record_idx").count(), server.select("row_idx").count()
         if min(n, d) <= self.most_broadcast:
-            return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, ps, n <= d)
-        return block_best(client, server, self.config, ps, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)))
+            return local_best(self._spread(client, n, "record_idx"), self._spread(server, d, "row_idx"), self.config, ps, n <= d, op)
+        return block_best(client, server, self.config, ps, (-(-n // BLOCK_ROWS), -(-d // BLOCK_ROWS)), op)
+
+    def fold(self, client: DataFrame, server: DataFrame, op: str) -> DataFrame:
+        """record_idx, num, den, row_idx: per record the row that a fold over its scores takes."""
+        p = self.precision
+        return fold(of_mode(self._found(client, server, [p], op), p), op, "num", "den", "row_idx", by=["record_idx"], place="row_idx")
 
     def _spread(self, df: DataFrame, rows: int, key: str) -> DataFrame:
         """Few rows in one file would otherwise be one task."""

@@ -217,3 +217,47 @@ def test_equality_is_looked_up(spark, monkeypatch, mode):
     close(rows(LinkageEngine(config, mode).link(left, right)), want, mode)
     c = LinkageEngine(config, mode).count(left, right).first()
     assert (c["matches"], c["tentative_matches"]) == (sum(w[1] for w in want), sum(w[2] for w in want))
+
+
+@pytest.mark.parametrize("op", fold.OPS)
+def test_folds_equal_those_over_all_scores(spark, op):
+    rng, config = random.Random(13), config_of([["m0", "m1", "m2"]])
+    left, right = frames(spark, config, records(rng, config, 14), records(rng, config, 30))
+    for mode in ("int16", "int32"):
+        engine = LinkageEngine(config, mode)
+        got = engine.fold(left, right, op)
+        want = fold.fold(engine.scores(left, right), op, "num", "den", "row_idx", by=["record_idx"], place="row_idx")
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("op", fold.OPS)
+@pytest.mark.parametrize("mode", MODES)
+def test_few_pairs_are_scored_and_none_is_missed(monkeypatch, mode, op):
+    import numpy as np
+    import pyarrow as pa
+    from kinlink.operators import kernel as k
+
+    config = LinkageConfig.of([*[FieldSpec(f"m{i}", 0.001 * (i + 1), 0.01, "dice", "bitmask", 16) for i in range(4)], FieldSpec("n", 0.1, 0.02, "binary", "integer", 4)], 0.9, 0.7, [["m0", "m1", "m2"]])
+
+    def side(n, seed):
+        rng, data = np.random.default_rng(seed), {"key": pa.array(np.random.default_rng(seed).permutation(n))}
+        for name, spec in config.fields.items():
+            here = rng.random(n) < (0.8 if name in ("m1", "n") else 2)
+            word = np.where(here, rng.integers(0, 1 << 16, n).astype(np.int64) << 48 if spec.comparator == "dice" else rng.integers(0, 8, n).astype(np.int64) << 56, 0)
+            extra = np.where(here, np.bitwise_count(word.view(np.uint64)) if spec.comparator == "dice" else 1, 0).astype(np.int64)
+            data |= {f"{name}_here": pa.array(here), f"{name}_extra": pa.array(extra), f"{name}_w0": pa.array(word)}
+        return k.Side(pa.table(data), config)
+
+    client, server = side(50, 1), side(2000, 2)
+    kernel = k.Kernel(config, Precision.of(mode, config), op)
+    num, den = kernel.scores(k.Pairs(config, client, slice(0, 50), server, slice(0, 2000)))
+    want = []
+    for r, record in enumerate(client.key):
+        by = np.lexsort((server.key, *(-key[r] for key in kernel.order(num, den)[::-1])))
+        want.append((int(record), int(server.key[by[0]]), num[r, by[0]], den[r, by[0]]))
+    seen, score = [], kernel.scores
+    monkeypatch.setattr(kernel, "scores", lambda pairs: seen.append(int(np.prod(pairs.shape))) or score(pairs))
+    monkeypatch.setattr(k, "BOUNDED", 1 << 12)
+    best, = k.meet([kernel], client, iter([server]))
+    assert sorted(zip(*(x.tolist() for x in best.rows()))) == sorted(want)
+    assert sum(seen) < 50 * 2000 / (4 if mode == "int16" else 20)
