@@ -21,6 +21,8 @@ The plan keeps it cheap:
   each group with its first row, and a record looks up its own subsets.  What is
   looked up scores at most as much as it is worth, and the best row is found with
   all fields that it shares.
+* Wide ones without groups first look for a row that equals a record in all its fields,
+  which no other row can beat; only records without one meet all rows.
 * Wide ones (``kernel="arrow"``), whose code would pass the JVM's limits, those with
   exchange groups and modes without such a long go through vector operations on Arrow batches
   (``operators.kernel``).  Results are equal.
@@ -140,6 +142,8 @@ class LinkageEngine:
             return self._by_subsets(client, server, p)
         if not self.uses_arrow:
             return self.scores(client, server)
+        if self._equal_wins(p):
+            return self._equal_first(client, server, p)
         return of_mode(self._found(client, server, [p]), p)
 
     def _by_subsets(self, client: DataFrame, server: DataFrame, p: Precision) -> DataFrame:
@@ -147,31 +151,58 @@ class LinkageEngine:
         subset of fields, the first row of that kind that agrees on the subset."""
         check_columns(client, self.config, "record_idx")
         check_columns(server, self.config, "row_idx")
-        names = self.config.names
-
-        def has(code: str, k: int) -> Column:
-            return F.col(code).bitwiseAND(1 << k) != 0
-
-        def subsets(df: DataFrame, key: str, code: str) -> DataFrame:
-            """A row for each subset of the fields that are there, with their values."""
-            here = reduce(lambda a, c: a + c, [F.when(F.col(f"`{n}`").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, n in enumerate(names)])
-            own = df.select(key, here.alias(code), *[F.col(f"`{n}`").alias(f"v{k}") for k, n in enumerate(names)])
-            if code == "kind":
-                own = own.groupBy(code, *[f"v{k}" for k in range(len(names))]).agg(F.min(key).alias(key))
+        keys = ["subset", *[f"v{k}" for k in range(len(self.config.names))]]
+        first = self._subsets(server, "row_idx", "kind").groupBy("kind", *keys).agg(F.min("row_idx").alias("row_idx"))
+        met = self._subsets(client, "record_idx", "own").join(first, keys)
+        return self._worth(met, F.col("subset"), F.col("own").bitwiseAND(F.col("kind")), p)
+
+    def _subsets(self, df: DataFrame, key: str, code: str, whole: bool = False) -> DataFrame:
+        """A row for each subset of the fields that are there (``whole``: of all of them only), with their values."""
+        names, values = self.config.names, [f"v{k}" for k in range(len(self.config.names))]
+        here = reduce(lambda a, c: a + c, [F.when(F.col(f"`{n}`").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, n in enumerate(names)])
+        own = df.select(key, here.alias(code), *[F.col(f"`{n}`").alias(v) for n, v in zip(names, values)])
+        if whole:
+            own = own.withColumn("subset", F.col(code))
+        else:
+            own = own.groupBy(code, *values).agg(F.min(key).alias(key)) if code == "kind" else own
             own = own.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1)))).filter(F.col("subset").bitwiseAND(F.col(code)) == F.col("subset"))
-            return own.withColumns({f"v{k}": F.when(has("subset", k), F.col(f"v{k}")).otherwise(F.lit(b"")) for k in range(len(names))})
+        return own.withColumns({v: F.when(F.col("subset").bitwiseAND(1 << k) != 0, F.col(v)).otherwise(F.lit(b"")) for k, v in enumerate(values)})
 
-        keys = ["subset", *[f"v{k}" for k in range(len(names))]]
-        first = subsets(server, "row_idx", "kind").groupBy("kind", *keys).agg(F.min("row_idx").alias("row_idx"))
-        met = subsets(client, "record_idx", "own").join(first, keys).select("record_idx", "row_idx", "subset", F.col("own").bitwiseAND(F.col("kind")).alias("both"))
+    def _worth(self, met: DataFrame, equal: Column, both: Column, p: Precision) -> DataFrame:
+        """Scores of rows that agree on the fields ``equal``, of those that both sides have."""
         zero = F.lit(0.0) if p.exact else F.lit(0).cast("bigint")
         num, den = [], []
-        for k, n in enumerate(names):
+        for k, n in enumerate(self.config.names):
             w = p.pair_weight(self.config, n, n)
-            num.append(F.when(has("subset", k), F.lit(w) if p.exact else F.lit(w << p.dice).cast("bigint")).otherwise(zero))
-            den.append(F.when(has("both", k), F.lit(w) if p.exact else F.lit(w).cast("bigint")).otherwise(zero))
+            num.append(F.when(equal.bitwiseAND(1 << k) != 0, F.lit(w) if p.exact else F.lit(w << p.dice).cast("bigint")).otherwise(zero))
+            den.append(F.when(both.bitwiseAND(1 << k) != 0, F.lit(w) if p.exact else F.lit(w).cast("bigint")).otherwise(zero))
         return met.select("record_idx", "row_idx", reduce(lambda a, c: a + c, num).alias("num"), reduce(lambda a, c: a + c, den).alias("den"))
 
+    def _equal_wins(self, p: Precision) -> bool:
+        """Whether only a row that equals all of a record's fields has the greatest quotient and denominator:
+        no weight is lost, and no comparison of different masks is rounded up to 1."""
+        fields = self.config.fields
+        weights = [p.pair_weight(self.config, n, n) for n in fields]
+        return (self.kernel == "auto" and not self.config.groups and len(fields) <= SUBSET_FIELDS and min(weights) > 1e-6 * max(weights)
+                and all(f.comparator == "binary" or p.exact or f.bitsize < 1 << p.dice for f in fields.values()))
+
+    def _equal_first(self, client: DataFrame, server: DataFrame, p: Precision) -> DataFrame:
+        """Records that some row equals have the first such row; the others meet all rows."""
+        check_columns(client, self.config, "record_idx")
+        check_columns(server, self.config, "row_idx")
+        keys = ["subset", *[f"v{k}" for k in range(len(self.config.names))]]
+        first = self._subsets(server, "row_idx", "kind").groupBy(*keys).agg(F.min("row_idx").alias("row_idx"))
+        # Two masks without ones compare as 0.
+        blank = reduce(lambda a, c: a | c, [F.coalesce(F.ltrim(F.hex(f"v{k}"), F.lit("0")) == "", F.lit(False)) & (F.col("own").bitwiseAND(1 << k) != 0)
+                                            for k, f in enumerate(self.config.fields.values()) if f.comparator == "dice"], F.lit(False))
+        met = self._subsets(client, "record_idx", "own", whole=True).join(first, keys, "left")
+        met = met.select("record_idx", "own", F.when(~blank, F.col("row_idx")).alias("row_idx")).persist()
+        won = self._worth(met.filter(F.col("row_idx").isNotNull()), F.col("own"), F.col("own"), p)
+        rest = met.filter(F.col("row_idx").isNull()).select("record_idx")
+        if not rest.count():
+            return won
+        return won.unionByName(of_mode(self._found(client.join(rest, "record_idx", "left_semi"), server, [p]), p))
+
     def _found(self, client: DataFrame, server: DataFrame, ps: list[Precision], op: str = "MAX_TIE") -> DataFrame:
         """What the arrow kernel leaves of all pairs under some precisions."""
         check_columns(client, self.config, "record_idx")

@@ -261,3 +261,20 @@ def test_few_pairs_are_scored_and_none_is_missed(monkeypatch, mode, op):
     best, = k.meet([kernel], client, iter([server]))
     assert sorted(zip(*(x.tolist() for x in best.rows()))) == sorted(want)
     assert sum(seen) < 50 * 2000 / (4 if mode == "int16" else 20)
+
+
+@pytest.mark.parametrize("mode", ["int32", "exact"])
+def test_equal_rows_win_without_pairs(spark, monkeypatch, mode):
+    rng = random.Random(17)
+    fields = [FieldSpec("m", 0.001, 0.01, "dice", "bitmask", 500 if mode == "int32" else 24), FieldSpec("a", 0.04, 0.01, "binary", "integer", 2), FieldSpec("b", 0.09, 0.01, "binary", "string", 304)]
+    config = LinkageConfig.of(fields, 0.8, 0.5)
+    server = records(rng, config, 60)
+    client = [dict(r) for r in server[::3]] + [{**r, "a": None} for r in server[:12]] + [dict.fromkeys(config.names)]
+    other = [{**r, "m": bytes(rng.randrange(256) for _ in range(fields[0].nbytes))} for r in server[:9]]
+    for kernel in ("arrow", "auto"):
+        left, right = frames(spark, config, client + other, server)
+        close(rows(LinkageEngine(config, mode, kernel=kernel).link(left, right)), link(config, mode, client + other, server), mode)
+    few = [r for r in client if r["m"] is None or any(r["m"])]
+    monkeypatch.setattr(e, "local_best", None)
+    left, right = frames(spark, config, few, server)
+    close(rows(LinkageEngine(config, mode).link(left, right)), link(config, mode, few, server), mode)
