@@ -278,3 +278,25 @@ def test_equal_rows_win_without_pairs(spark, monkeypatch, mode):
     monkeypatch.setattr(e, "local_best", None)
     left, right = frames(spark, config, few, server)
     close(rows(LinkageEngine(config, mode).link(left, right)), link(config, mode, few, server), mode)
+
+
+def test_all_pairs_are_written_in_tiles(spark, monkeypatch):
+    from kinlink.plans.catalog import QUERIES
+
+    monkeypatch.setattr(e, "TILE_ROWS", 8, raising=False)
+    got = QUERIES["pair_scores"](spark, "/root/testdata/sf0.001").collect()
+    records, rows_ = {r["record_idx"] for r in got}, {r["row_idx"] for r in got}
+    assert len(records) > 100 and len(got) == len(records) * len(rows_) == len({r[:2] for r in got})
+    assert len({r["record_idx"] for r in got[:32]}) <= 16  # not 32 different ones, for which the result takes more disk
+
+
+@pytest.mark.parametrize("sizes", [(0, 5), (5, 0), (3, 40), (40, 3)])
+def test_tiles_hold_every_pair(spark, monkeypatch, sizes):
+    monkeypatch.setattr(e, "TILE_ROWS", 4, raising=False)
+    config = LinkageConfig.of([FieldSpec("bm_1", 0.25, 0.0, "dice", "bitmask", 8), FieldSpec("bm_2", 0.125, 0.0, "dice", "bitmask", 8)], 0.9, 0.7, [["bm_1", "bm_2"]])
+    rng = random.Random(11)
+    sides = frames(spark, config, *[records(rng, config, n) for n in sizes])
+    odd = [s.withColumn(c, F.when(F.col(c) % 7 == 3, F.lit(None)).when(F.col(c) % 5 == 2, F.lit(-8)).otherwise(F.col(c) * 8).cast("bigint")) for s, c in zip(sides, ("record_idx", "row_idx"))]
+    order = lambda df: sorted(map(repr, df.collect()))
+    engine = LinkageEngine(config)
+    assert order(engine.scores(*odd, tiled=True)) == order(engine.scores(*odd)) and engine.scores(*odd, tiled=True).count() == sizes[0] * sizes[1]
