@@ -22,8 +22,8 @@ The plan keeps it cheap:
   each group with its first row, and a record looks up its own subsets.  What is
   looked up scores at most as much as it is worth, and the best row is found with
   all fields that it shares.
-* Wide ones without groups first look for a row that equals a record in all its fields,
-  which no other row can beat; only records without one meet all rows.
+* Others without groups first look for a row that equals a record in all its fields,
+  which no other row can beat; only records without one meet all rows, by either kernel.
 * Wide ones (``kernel="arrow"``), whose code would pass the JVM's limits, those with
   exchange groups and modes without such a long go through vector operations on Arrow batches
   (``operators.kernel``).  Results are equal.
@@ -145,11 +145,12 @@ class LinkageEngine:
         """Scores of all pairs, or of those that may still be best."""
         if self.uses_subsets:
             return self._by_subsets(client, server, p)
-        if not self.uses_arrow:
-            return self.scores(client, server)
         if self._equal_wins(p):
             return self._equal_first(client, server, p)
-        return of_mode(self._found(client, server, [p]), p)
+        return self._all_pairs(client, server, p)
+
+    def _all_pairs(self, client: DataFrame, server: DataFrame, p: Precision) -> DataFrame:
+        return of_mode(self._found(client, server, [p]), p) if self.uses_arrow else self.scores(client, server)
 
     def _by_subsets(self, client: DataFrame, server: DataFrame, p: Precision) -> DataFrame:
         """record_idx, row_idx, num, den: per record, kind of row (the fields it has) and
@@ -206,7 +207,7 @@ class LinkageEngine:
         rest = met.filter(F.col("row_idx").isNull()).select("record_idx")
         if not rest.count():
             return won
-        return won.unionByName(of_mode(self._found(client.join(rest, "record_idx", "left_semi"), server, [p]), p))
+        return won.unionByName(self._all_pairs(client.join(rest, "record_idx", "left_semi"), server, p))
 
     def _found(self, client: DataFrame, server: DataFrame, ps: list[Precision], op: str = "MAX_TIE") -> DataFrame:
         """What the arrow kernel leaves of all pairs under some precisions."""

@@ -6,11 +6,15 @@ bodies with raw values: integers and strings as such, masks as BIT strings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from kinlink.functions.codec import bits_to_mask, encode
 from kinlink.plans.config import FieldSpec, LinkageConfig
@@ -143,22 +147,47 @@ _SWAP_SERVER = f"""SELECT {_N} AS row_idx, 'v' || vec_id AS id, label, {_signs_s
 # --- doc: labelled documents against all documents, as Bloom masks of their words ------------
 
 DOC_BITS = 512
+#: Words whose bits a task keeps.
+DOC_KEPT = 1 << 18
 DOC = LinkageConfig.of([
     FieldSpec("words", 0.0001, 0.01, "dice", "bitmask", DOC_BITS), FieldSpec("lang", 0.3, 0.01, "binary", "string", 16),
     FieldSpec("source", 0.05, 0.02, "binary", "string", 48),
 ], 0.9, 0.7)
 
 
+class _Bits(dict):
+    """Bits of words; so many are kept that they stay small."""
+
+    def __missing__(self, word: bytes) -> int:
+        bit = (int.from_bytes(md5(word).digest()[:4], "big") >> 4) % DOC_BITS
+        if len(self) < DOC_KEPT:
+            self[word] = bit
+        return bit
+
+
+@F.arrow_udf(BinaryType())
+def _bloom(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A bit for the md5 of every word of the whole text: of what stands between runs of blanks and line ends, as a split has it.  A null has none, as in the SQL twin."""
+    bits, blanks = _Bits(), bytes.maketrans(b"\n\r\t", b"   ")
+    for batch in texts:
+        out = []
+        for text in batch.cast(pa.large_binary()):
+            if not text.is_valid:
+                out.append(bytes(DOC_BITS // 8))
+                continue
+            text = text.as_py().translate(blanks)
+            words = set(text.split(b" "))
+            if text and text[0] != 32 and text[-1] != 32:
+                words.discard(b"")  # from inside a run; else there is an empty word at an end
+            flags = np.zeros(DOC_BITS, dtype=bool)
+            flags[list(map(bits.__getitem__, words))] = True
+            out.append(np.packbits(flags, bitorder="little").view("<u8").astype(">u8").tobytes())
+        yield pa.array(out, pa.binary())
+
+
 def _doc(df: DataFrame, key: str) -> DataFrame:
-    """key, words, lang, source: a bit for the md5 of every distinct word of the whole text."""
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \n\r\t]+")))
-    bit = F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("bigint") % DOC_BITS
-    bits = df.select("doc_id", word.alias("w")).select("doc_id", bit.alias("b"))
-    part = lambda k: F.bit_or(F.when(F.shiftright("b", 6) == k, F.expr("shiftleft(1L, cast(b & 63 as int))")).otherwise(F.lit(0).cast("bigint")))
-    masks = bits.groupBy("doc_id").agg(*[part(k).alias(f"p{k}") for k in range(DOC_BITS // 64)])
-    mask = F.concat(*[F.unhex(F.lpad(F.hex(f"p{k}"), 16, "0")) for k in range(DOC_BITS // 64)])
-    return (df.join(masks, "doc_id", "left").select(
-        F.col("doc_id").alias(key), mask.alias("words"), encode(F.col("lang"), DOC.fields["lang"]).alias("lang"), encode(F.col("source"), DOC.fields["source"]).alias("source")))
+    """key, words, lang, source; no words where nobody asks for them."""
+    return df.select(F.col("doc_id").alias(key), _bloom(F.lower("text")).alias("words"), encode(F.col("lang"), DOC.fields["lang"]).alias("lang"), encode(F.col("source"), DOC.fields["source"]).alias("source"))
 
 
 def doc_client(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,3 +300,38 @@ def test_tiles_hold_every_pair(spark, monkeypatch, sizes):
     order = lambda df: sorted(map(repr, df.collect()))
     engine = LinkageEngine(config)
     assert order(engine.scores(*odd, tiled=True)) == order(engine.scores(*odd)) and engine.scores(*odd, tiled=True).count() == sizes[0] * sizes[1]
+
+
+def test_documents_are_linked_without_pairs(spark, monkeypatch):
+    # The view's masks fit whole-stage code, but a labelled document equals its own row: no pair is made.
+    from duck import assert_same
+    from kinlink.plans.catalog import QUERIES, SQL
+
+    monkeypatch.setattr(LinkageEngine, "pairs", None)
+    monkeypatch.setattr(e, "local_best", None)
+    assert_same(QUERIES["link_documents"](spark, "/root/testdata/sf0.001"), SQL["link_documents"], "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("kernel", ["auto", "sql"])
+def test_narrow_masks_meet_rows_only_without_an_equal_one(spark, kernel):
+    rng = random.Random(23)
+    fields = [FieldSpec("m", 0.001, 0.01, "dice", "bitmask", 60), FieldSpec("a", 0.04, 0.01, "binary", "integer", 2)]
+    config = LinkageConfig.of(fields, 0.8, 0.5)
+    server = records(rng, config, 40)
+    client = [dict(r) for r in server[::3]] + records(rng, config, 20) + [dict.fromkeys(config.names), {"m": bytes(8), "a": None}]
+    left, right = frames(spark, config, client, server)
+    engine = LinkageEngine(config, kernel=kernel)
+    assert not engine.uses_arrow
+    close(rows(engine.link(left, right)), link(config, "int32", client, server), "int32")
+
+
+def test_words_are_those_of_each_row(spark, tmp_path):
+    # Rows of one doc_id keep their own words, as in SQL; blanks at the ends, runs of them, none at all, other white space.
+    from duck import assert_same
+    from kinlink.plans.catalog import QUERIES, SQL
+
+    texts = ["a b", "b  c\n\r\td", " a", "a ", "", " ", "\n", None, "AÉß b\x0bc", "a b", "x" * 300 + " y", "a b", "c d"]
+    docs = [(n if n < 12 else 0, t, ["en", None, "de"][n % 3], "s" if n % 2 else None) for n, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, 1) for n in range(1, 12)], "doc_id bigint, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    assert_same(QUERIES["link_documents"](spark, str(tmp_path)), SQL["link_documents"], str(tmp_path))
